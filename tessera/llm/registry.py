@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from tessera.llm.byte_bpe import op7_byte_bpe
+from tessera.llm.hilbert_shards import op9_hilbert_shards
 from tessera.llm.media import op5_media
+from tessera.llm.secret_scan import OP8_SQL, op8_secret_scan
 
 QUERIES = {
     "op5_media": op5_media,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_hilbert_shards": op9_hilbert_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_secret_scan": OP8_SQL,
+}
