@@ -134,8 +134,8 @@ def shingle_set(data: np.ndarray, width: int = 5) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     if len(words) < width:
-        one = np.uint64(len(words))
-        for w in words:
-            one = mix(np.array([one * np.uint64(0x9FB21C651E98DF25) + w], np.uint64))[0]
-        return np.array([one], np.uint64)
+        one = np.array([len(words)], np.uint64)
+        for k in range(len(words)):
+            one = mix(one * np.uint64(0x9FB21C651E98DF25) + words[k : k + 1])
+        return one
     return np.unique(shingle_hashes(words, width))

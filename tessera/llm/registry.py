@@ -5,11 +5,13 @@ from __future__ import annotations
 from tessera.llm.byte_bpe import op7_byte_bpe
 from tessera.llm.hilbert_shards import op9_hilbert_shards
 from tessera.llm.media import op5_media
+from tessera.llm.minhash import OP4_SQL, op4_minmax_hash
 from tessera.llm.secret_scan import OP8_SQL, op8_secret_scan
 from tessera.llm.url_filter import OP1_SQL, op1_redirect_urls
 
 QUERIES = {
     "op1_redirect_urls": op1_redirect_urls,
+    "op4_minmax_hash": op4_minmax_hash,
     "op5_media": op5_media,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
@@ -18,5 +20,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_redirect_urls": OP1_SQL,
+    "op4_minmax_hash": OP4_SQL,
     "op8_secret_scan": OP8_SQL,
 }
