@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.byte_bpe import op7_byte_bpe
 from tessera.llm.hilbert_shards import op9_hilbert_shards
+from tessera.llm.language_id import op6_hyperdimensional_lang
 from tessera.llm.media import op5_media
 from tessera.llm.minhash import OP4_SQL, op4_minmax_hash
 from tessera.llm.secret_scan import OP8_SQL, op8_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_redirect_urls": op1_redirect_urls,
     "op4_minmax_hash": op4_minmax_hash,
     "op5_media": op5_media,
+    "op6_hyperdimensional_lang": op6_hyperdimensional_lang,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_hilbert_shards": op9_hilbert_shards,
