@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, keep_ids: bool = Fal
             offsets, data = texts_of(batch.column(1))
             for a, b in chunks(offsets, PIECE_BYTES):
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
-                n, ids_sha, decoded_sha, kept = [], [], [], []
+                n, ids_sha, decoded_sha = [], [], []
                 if len(texts) == 1 and len(texts[0]) >= LONG:
                     x, y, total, parts = hashlib.sha256(), hashlib.sha256(), 0, []
                     found = (m[0] for m in tok.split.finditer(texts[0]))
@@ -219,7 +219,7 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, keep_ids: bool = Fal
                         if keep_ids:
                             parts.append(ids)
                     n, ids_sha, decoded_sha = [total], [x.hexdigest()], [y.hexdigest()]
-                    kept = [np.concatenate(parts)] if keep_ids else []
+                    kept, ends = np.concatenate([np.zeros(0, np.uint32), *parts]), [0, total]
                 else:
                     pieces, counts = [], []
                     for t in texts:
@@ -235,15 +235,15 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, keep_ids: bool = Fal
                     n = [y - x for x, y in zip(ends, ends[1:])]  # noqa: RUF007
                     ids_sha = [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(ends, ends[1:])]  # noqa: RUF007
                     decoded_sha = [hashlib.sha256(out[x:y]).hexdigest() for x, y in zip(byte_ends, byte_ends[1:])]  # noqa: RUF007
-                    kept = [ids[x:y] for x, y in zip(ends, ends[1:])] if keep_ids else []  # noqa: RUF007
+                    kept = ids
                 cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    cols.append(pa.array([k.astype(np.int64) for k in kept], pa.list_(pa.int64())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
