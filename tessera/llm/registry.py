@@ -9,10 +9,12 @@ from tessera.llm.media import op5_media
 from tessera.llm.minhash import OP4_SQL, op4_minmax_hash
 from tessera.llm.secret_scan import OP8_SQL, op8_secret_scan
 from tessera.llm.string_tiling import op3_string_tiling
+from tessera.llm.style_tree import op2_style_tree
 from tessera.llm.url_filter import OP1_SQL, op1_redirect_urls
 
 QUERIES = {
     "op1_redirect_urls": op1_redirect_urls,
+    "op2_style_tree": op2_style_tree,
     "op3_string_tiling": op3_string_tiling,
     "op4_minmax_hash": op4_minmax_hash,
     "op5_media": op5_media,
