@@ -10,6 +10,7 @@ from tessera.llm.minhash import OP4_SQL, op4_minmax_hash
 from tessera.llm.secret_scan import OP8_SQL, op8_secret_scan
 from tessera.llm.string_tiling import op3_string_tiling
 from tessera.llm.style_tree import op2_style_tree
+from tessera.llm.suffix_dedup import op10_suffix_dedup
 from tessera.llm.url_filter import OP1_SQL, op1_redirect_urls
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_hilbert_shards": op9_hilbert_shards,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
