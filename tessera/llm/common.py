@@ -6,6 +6,7 @@ over Z/2^64 with random byte values gives the hash of any byte range from two pr
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -46,6 +47,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more; Spark removes them when the driver's objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix)."""
     h = h ^ (h >> np.uint64(30))

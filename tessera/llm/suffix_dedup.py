@@ -12,7 +12,6 @@ merged over shards by binary search in sorted window hashes.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUE, CHUNK_BYTES, chunks, durable, mix, range_hash, range_sums, texts_of
+from tessera.llm.common import BYTE_VALUE, CHUNK_BYTES, chunks, durable, free, mix, range_hash, range_sums, texts_of
 
 #: Length of the repeated strings, and of the anchors within them.
 LENGTH, ANCHOR = 100, 20
@@ -176,12 +175,6 @@ def shard_repeats(doc: np.ndarray, begin: np.ndarray, pieces: list[bytes], hot:
     return [doc[piece], a, b], [mix(x).view(np.int64), mix(y).view(np.int64), doc[owner[at]], begin[owner[at]] + at - starts[owner[at]]]
 
 
-def _free(spark) -> None:
-    """Let go of shuffle files that nothing refers to any more; Spark removes them when the driver's objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc, start, end: byte ranges of windows that also begin earlier; ranges may overlap. docs(doc long, text)."""
     spark = docs.sparkSession
@@ -201,11 +194,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     repeated = docs.select("doc", "text").mapInArrow(emit(True), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
     repeated = durable(repeated)
-    _free(spark)
+    free(spark)
     every = docs.select("doc", "text").mapInArrow(emit(False), "anchor long, whole long, doc long, run long")
     found = durable(every.join(repeated, "anchor"))
     del every, repeated
-    _free(spark)
+    free(spark)
     firsts = durable(found.groupBy("anchor", "whole").agg(F.min(F.struct("doc", "run")).alias("f")).select("anchor", "whole", F.col("f.doc").alias("fdoc"), F.col("f.run").alias("frun")))
     start, count = F.shiftrightunsigned("run", 16), F.col("run").bitwiseAND(65535)
     copies = found.join(firsts, ["anchor", "whole"]).where("doc <> fdoc OR run <> frun").select("doc", start.alias("start"), (start + count + length - 1).alias("end"))
@@ -247,7 +240,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     solved = durable(pieces.groupBy("shard").applyInArrow(solve, "doc long, start long, end long, first long, x long, y long"))
     del found, pieces
-    _free(spark)
+    free(spark)
     ranges = copies.union(solved.where("first = 0").select("doc", "start", "end"))
     classes = solved.where("first = 1")
     if not classes.isEmpty():
