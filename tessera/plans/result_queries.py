@@ -18,7 +18,7 @@ def event_samples(spark, sf_dir):
     return e.select("key", "t", F.lit("A").alias("grade"), F.floor("v").alias("score"), F.floor(F.col("v") * 10).alias("debt_minutes"), F.lit(1000).alias("sloc"), F.lit(10).alias("files"), F.lit(None).cast("long").alias("n"))
 
 
-EVENTS_SQL = "samples AS (SELECT user_id AS key, epoch_ms(ts) AS t, floor(max(value))::BIGINT AS score, floor(max(value) * 10)::BIGINT AS debt_minutes FROM events GROUP BY user_id, epoch_ms(ts))"
+EVENTS_SQL = "samples AS (SELECT user_id AS key, (epoch_us(ts) // 1000) AS t, floor(max(value))::BIGINT AS score, floor(max(value) * 10)::BIGINT AS debt_minutes FROM events GROUP BY user_id, (epoch_us(ts) // 1000))"
 
 
 def order_samples(spark, sf_dir):
@@ -29,9 +29,9 @@ def order_samples(spark, sf_dir):
     ).groupBy("key", "t").agg(*(F.max_by(c, F.struct("debt_minutes", "sloc", "grade")).alias(c) for c in ("grade", "score", "debt_minutes", "sloc", "files", "n")))
 
 
-ORDERS_SQL = """raw AS (SELECT o_orderstatus AS key, epoch_ms(o_orderdate) + o_orderkey % 86400000 AS t, o_orderpriority AS grade, o_orderkey % 101 AS score, floor(o_totalprice)::BIGINT AS debt_minutes, o_custkey + 1 AS sloc, 3::BIGINT AS files, o_orderkey % 4 + 1 AS n FROM orders),
+ORDERS_SQL = """raw AS (SELECT o_orderstatus AS key, epoch_us(o_orderdate) // 1000 + o_orderkey % 86400000 AS t, o_orderpriority AS grade, o_orderkey % 101 AS score, floor(o_totalprice)::BIGINT AS debt_minutes, o_custkey + 1 AS sloc, 3::BIGINT AS files, o_orderkey % 4 + 1 AS n FROM orders),
 samples AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY key, t ORDER BY debt_minutes DESC, sloc DESC, grade DESC) = 1)"""
-_CUT = f"({ORDERS_NOW} - {history.ROLL_UP_AFTER_DAYS} * 86400000)"
+_CUT = str(ORDERS_NOW - history.ROLL_UP_AFTER_DAYS * history.DAY_MS)
 ROLLED_SQL = ORDERS_SQL + f""", rolled AS (SELECT key, max(t) AS t, arg_max(grade, t) AS grade, floor(sum(score * n) / sum(n) + 0.5)::BIGINT AS score, floor(sum(debt_minutes * n) / sum(n) + 0.5)::BIGINT AS debt_minutes, floor(sum(sloc * n) / sum(n) + 0.5)::BIGINT AS sloc, floor(sum(files * n) / sum(n) + 0.5)::BIGINT AS files, sum(n)::BIGINT AS n
     FROM samples WHERE t < {_CUT} GROUP BY key, date_trunc('month', epoch_ms(t))
     UNION ALL SELECT key, t, grade, score, debt_minutes, sloc, files, n FROM samples WHERE t >= {_CUT})"""
@@ -132,7 +132,11 @@ def ratio_grades(spark, sf_dir):
 
 _GRADE = "CASE WHEN ratio <= 0.05 THEN 'A' WHEN ratio <= 0.1 THEN 'B' WHEN ratio <= 0.2 THEN 'C' WHEN ratio <= 0.5 THEN 'D' ELSE 'E' END"
 _SCORED = "SELECT *, floor(ratio * 10000 + 0.5) / 10000 AS debt_ratio, floor(greatest(0, 1 - ratio / 0.5) * 100 + 0.5)::INT AS score, " + _GRADE + " AS grade FROM (SELECT *, CASE WHEN sloc > 0 THEN debt_minutes / (sloc * 30) ELSE 0 END AS ratio FROM ({}))"
-_CAPTION = "CASE WHEN d > 0 THEN 'improved by ' || d || CASE WHEN d = 1 THEN ' point' ELSE ' points' END WHEN d < 0 THEN 'dropped by ' || -d || CASE WHEN d = -1 THEN ' point' ELSE ' points' END ELSE 'held steady' END || CASE WHEN floor(span / 86400000 + 0.5) >= 2 THEN ' over ' || floor(span / 86400000 + 0.5)::BIGINT || ' days' ELSE '' END"
+_CAPTION = (
+    "CASE WHEN since_start > 0 THEN 'improved by ' || since_start || CASE WHEN since_start = 1 THEN ' point' ELSE ' points' END "
+    "WHEN since_start < 0 THEN 'dropped by ' || -since_start || CASE WHEN since_start = -1 THEN ' point' ELSE ' points' END ELSE 'held steady' END "
+    "|| CASE WHEN floor(span / 86400000 + 0.5) >= 2 THEN ' over ' || floor(span / 86400000 + 0.5)::BIGINT || ' days' ELSE '' END"
+)
 _DELTA = "delta AS (SELECT key, arg_max(score, t) - arg_min(score, t) AS since_start, arg_max(score, t) - list(score ORDER BY t DESC)[2] AS since_last, max(t) - min(t) AS span FROM samples GROUP BY key HAVING count(*) >= 2)"
 
 QUERIES = {
@@ -142,7 +146,7 @@ QUERIES = {
     "history_compact": (history_compact, f"WITH {ROLLED_SQL} SELECT * FROM rolled QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC) <= {history.MOST_SAMPLES}"),
     "history_delta": (history_delta, f"WITH {EVENTS_SQL}, {_DELTA} SELECT * FROM delta"),
     "history_sparkline": (history_sparkline, f"WITH {EVENTS_SQL} SELECT key, CASE WHEN count(*) < 2 THEN 1 ELSE count(*) END::INT AS points, CASE WHEN count(*) < 2 THEN '' ELSE '0.0' END AS first_x FROM samples GROUP BY key"),
-    "trend_captions": (trend_captions, f"WITH {EVENTS_SQL}, {_DELTA} SELECT key, {_CAPTION.replace('d ', 'since_start ').replace('-d', '-since_start').replace('|| d', '|| since_start')} AS caption FROM delta"),
+    "trend_captions": (trend_captions, f"WITH {EVENTS_SQL}, {_DELTA} SELECT key, {_CAPTION} AS caption FROM delta"),
     "hierarchy_scores": (hierarchy_scores, f"WITH {HIERARCHY_SQL} SELECT folder, debt_minutes, sloc, debt_ratio, score, grade FROM ({_SCORED.format('SELECT folder, sum(debt_minutes)::BIGINT AS debt_minutes, sum(sloc)::BIGINT AS sloc FROM g GROUP BY folder')})"),
     "structural_metrics": (structural_metrics, f"WITH {STRUCTURE_SQL} SELECT path, 1 AS tier, 'f' || doc_id AS name, 'function' AS kind, p AS params, 1 + n AS cyclomatic, (n * (n + 1) // 2)::INT AS cognitive, n AS max_nesting, n + 2 AS sloc FROM g"),
     "structural_findings": (structural_findings, f"WITH {STRUCTURE_FINDINGS_SQL} SELECT * FROM found"),
