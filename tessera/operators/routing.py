@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import GRADE_ORDER
 from tessera.functions.text import glob_regex
+from tessera.operators import braces
 from tessera.operators.languages import STRUCTURED, detect_language
 
 # What marks generated and minified files, and folders that are never looked into.
@@ -31,7 +32,11 @@ def is_minified(text: Column) -> Column:
     return (F.length(text) >= MINIFIED_LEAST) & ((F.length(text) / F.size(parts) > MINIFIED_MEAN) | F.exists(parts, lambda l: F.length(l) > MINIFIED_LINE))  # noqa: E741
 
 
-def route(files: DataFrame, parsers: tuple[str, ...] = ("python",)) -> DataFrame:
+#: Languages whose structure is measured.
+PARSERS = ("python", *braces.LANGUAGES)
+
+
+def route(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
     """files(path, language_key, text) with tier, skip_reason and note.
 
     Tier 3 is skipped: generated by its path or its first lines, or minified, in this order. Tier 1 has a parser; the
@@ -41,7 +46,7 @@ def route(files: DataFrame, parsers: tuple[str, ...] = ("python",)) -> DataFrame
     key = F.regexp_replace("language_key", "^notebook:", "")
     reason = F.when(is_generated_path(F.col("path")), "generated").when(has_generated_header(text), "generated").when(is_minified(text), "minified")
     tier = F.when(reason.isNotNull(), 3).when(key.isin(*parsers), 1).otherwise(2)
-    note = F.when(reason.isNull() & ~key.isin(*parsers) & key.isin(*STRUCTURED), F.concat(F.lit("no parser for "), key, F.lit("; partial analysis")))
+    note = F.when(reason.isNull() & key.isin(*braces.LANGUAGES), "measured by a token scanner").when(reason.isNull() & ~key.isin(*parsers) & key.isin(*STRUCTURED), F.concat(F.lit("no parser for "), key, F.lit("; partial analysis")))
     return files.withColumns({"tier": tier, "skip_reason": reason, "note": note})
 
 

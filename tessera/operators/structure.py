@@ -1,7 +1,7 @@
 """Structural measurements of source code: functions and classes with complexity, nesting, vocabulary and size.
 
-Python is parsed with the interpreter's own grammar. A file that doesn't parse falls back to what its text tells
-(operators/generic.py) and is marked.
+Python is parsed with the interpreter's own grammar, languages with braces are scanned (operators/braces.py). A file that
+doesn't parse falls back to what its text tells (operators/generic.py) and is marked.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import MARKERS
+from tessera.operators import braces
 from tessera.operators.clones import fnv1a
 from tessera.operators.generic import DIRECTIVE_PREFIX, measure_generic
 
@@ -241,28 +242,35 @@ class PythonFile:
         }
 
 
-def measure_python(files: DataFrame, prefix: str = DIRECTIVE_PREFIX) -> DataFrame:
+def measure_structure(files: DataFrame, prefix: str = DIRECTIVE_PREFIX) -> DataFrame:
     """files(path, language_key, text, ...) with parsed, lines, sloc, comment_lines, line_lengths, functions, classes, todos, suppressions, token ids and their lines.
 
-    ``parsed`` is false, and the rest null, where the text isn't Python. A very deep or long text that the parser gives
+    ``parsed`` is false, and the rest null, where the text isn't what its language key says. A very deep or long text that the parser gives
     up on counts as not parsed. Rows are independent.
     """
     names = [c for c in files.columns if c != "text"]
     made = [("parsed", pa.bool_()), ("lines", pa.int32()), ("sloc", pa.int32()), ("comment_lines", pa.int32()), ("line_lengths", pa.list_(pa.int32())), ("functions", pa.list_(FUNCTION)), ("classes", pa.list_(CLASS)), ("todos", pa.list_(TODO)), ("suppressions", pa.list_(SUPPRESSION)), ("ids", pa.list_(pa.int64())), ("token_lines", pa.list_(pa.int32()))]
 
-    def one(text: str) -> dict:
+    directive = re.compile(rf"{prefix}-disable(-next-line|-line|-file)?\b[:\s]*([A-Za-z0-9,\s]*)", re.I)
+
+    def one(key: str, text: str) -> dict:
         try:
-            p = PythonFile(text, prefix)
-        except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError):
+            if key in braces.LANGUAGES:
+                p = braces.BraceFile(text, key, directive)
+                functions, tokens = p.functions(halstead, maintainability, NO_OPERATORS), [(t.text, t.row) for t in p.code]
+            else:
+                p = PythonFile(text, prefix)
+                functions, tokens = p.functions, [(t, at[0]) for at, t, _ in p.tokens]
+        except (SyntaxError, ValueError, IndexError, RecursionError, MemoryError, tokenize.TokenError):
             return {"parsed": False}
         return {
             "parsed": True, "lines": len(p.lines), "sloc": len(p.rows), "comment_lines": len(p.comment_rows - p.rows), "line_lengths": [len(x.encode("utf-16-le", "surrogatepass")) // 2 for x in re.split("\r?\n", text)],
-            "functions": p.functions, "classes": p.classes, "todos": p.todos, "suppressions": p.suppressions, "ids": [fnv1a(t) for _, t, _ in p.tokens], "token_lines": [at[0] for at, _, _ in p.tokens],
+            "functions": functions, "classes": p.classes, "todos": p.todos, "suppressions": p.suppressions, "ids": [fnv1a(t) for t, _ in tokens], "token_lines": [row for _, row in tokens],
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(t or "") for t in batch.column(0).to_pylist()]
+            rows = [one(k or "", t or "") for t, k in zip(batch.column(0).to_pylist(), batch.column(names.index("language_key") + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array([r.get(k) for r in rows], t) for k, t in made), batch.column(0)], names=[*names, *(k for k, _ in made), "text"])
 
     function = "array<struct<name:string,kind:string,start_line:int,start_col:int,end_line:int,end_col:int,params:int,cyclomatic:int,cognitive:int,max_nesting:int,sloc:int,halstead:struct<distinct_operators:int,distinct_operands:int,total_operators:int,total_operands:int,volume:double,difficulty:double,effort:double>,mi:double>>"
@@ -277,7 +285,7 @@ def analyze(routed: DataFrame, prefix: str = DIRECTIVE_PREFIX) -> DataFrame:
     Tier 1 is parsed; what doesn't parse becomes tier 2 with has_syntax_errors. Tier 3 keeps zeros and empty lists.
     """
     generic = measure_generic(routed.where("tier = 2"), prefix=prefix).withColumn("has_syntax_errors", F.lit(False))
-    parsed = measure_python(routed.where("tier = 1"), prefix)
+    parsed = measure_structure(routed.where("tier = 1"), prefix)
     whole = parsed.where("parsed").withColumns({"has_syntax_errors": F.lit(False), "indent_nesting": F.lit(None).cast("struct<depth:int,line:int>")})
     broken = parsed.where("NOT parsed").select(*routed.columns).withColumns({"tier": F.lit(2), "note": F.lit("does not parse; partial analysis")})
     broken = measure_generic(broken, prefix=prefix).withColumn("has_syntax_errors", F.lit(True))
