@@ -1,4 +1,4 @@
-"""Structural measurements of languages with braces, by a scanner over tokens.
+"""Structural measurements of languages with braces, and of three whose blocks are words, by a scanner over tokens.
 
 It stands in for full grammars: functions are a name, a parameter list and a block; control flow is read from keywords.
 Macros, unusual layouts and code that doesn't balance are measured as far as they can be read.
@@ -35,6 +35,7 @@ class Token:
     kind: str
     row: int
     col: int
+    made: bool = False
 
 
 @dataclass
@@ -63,6 +64,7 @@ class BraceFile:
         self.todos: list[dict] = []
         self.suppressions: list[dict] = []
         self._lex(text, directive)
+        self._rewrite()
         self.close = self._match()
         self.units: list[Unit] = []
         self.classes: list[dict] = []
@@ -70,12 +72,16 @@ class BraceFile:
 
     # --- tokens ---
 
+    def lexer(self) -> re.Pattern:
+        return _LEX
+
     def _lex(self, text: str, directive: re.Pattern) -> None:
         starts = [0]
         for m in re.finditer("\n", text):
             starts.append(m.end())
         row, at = 0, 0
-        while m := _LEX.search(text, at):
+        lex = self.lexer()
+        while m := lex.search(text, at):
             at = m.end()
             if self.language == "rust" and m["string"] and m["string"][0] == "'" and _RUST_LIFETIME.match(text, m.start()):
                 at = m.start() + 1
@@ -95,6 +101,9 @@ class BraceFile:
             self.rows.update(range(row, row + m[0].count("\n") + 1))
             self.code.append(Token(m[0], m.lastgroup, row, col))
 
+    def _rewrite(self) -> None:
+        """For languages whose blocks are words: see KeywordFile."""
+
     def _match(self) -> dict[int, int]:
         """The place of the bracket that closes each opening one; the end where none does."""
         pairs, stack = {"(": ")", "[": "]", "{": "}"}, []
@@ -150,6 +159,8 @@ class BraceFile:
             if j < end and self.code[j].kind == "name":
                 name = self.code[j].text
                 j += 1
+                while self._is(j, ".", ":", "::") and j + 1 < end and self.code[j + 1].kind == "name":
+                    name, j = self.code[j + 1].text, j + 2
             if self._is(j, "<", "["):
                 close = {"<": ">", "[": "]"}[self.code[j].text]
                 while j < end and self.code[j].text != close:
@@ -344,7 +355,9 @@ class BraceFile:
         ternary = level
         while i < end:
             t = self.code[i]
-            if t.kind == "op":
+            if t.kind == "modifier":
+                self._enter(u, ternary, depth)
+            elif t.kind == "op":
                 if t.text in ("&&", "||"):
                     u.cyclomatic += 1
                     u.cognitive += t.text != last
@@ -380,7 +393,7 @@ class BraceFile:
         for u in self.units:
             last = self.code[min(u.last, len(self.code) - 1)]
             first = self.code[u.first]
-            own = [t for k, t in enumerate(self.code[u.first : u.last + 1], u.first) if not any(a <= k <= b for a, b in u.nested)]
+            own = [t for k, t in enumerate(self.code[u.first : u.last + 1], u.first) if not t.made and not any(a <= k <= b for a, b in u.nested)]
             h = halstead([t.text for t in own if t.kind == "op" and t.text not in no_operators], [t.text for t in own if t.kind != "op"])
             sloc = bisect_left(rows, last.row + 1) - bisect_left(rows, first.row)
             out.append({
@@ -388,3 +401,121 @@ class BraceFile:
                 "cognitive": u.cognitive, "max_nesting": u.depth, "sloc": sloc, "halstead": h, "mi": maintainability(h["volume"], u.cyclomatic, sloc),
             })
         return out
+
+
+_WORD_COMMENTS = {"lua": r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*", "ruby": r"(?<![$\w])\#[^\n]*", "bash": r"(?<![$\w{])\#[^\n]*"}
+_WORD_LEX = {
+    k: re.compile(rf"""(?P<comment>{c})|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$@][\w$]*[?!]?)|(?P<op>&&|\|\||=>|->|;;|[=!<>~]=|[^\s\w])""", re.S)
+    for k, c in _WORD_COMMENTS.items()
+}
+
+
+class KeywordFile(BraceFile):
+    """The same for languages whose blocks begin and end with words: these are turned into brackets first."""
+
+    def lexer(self) -> re.Pattern:
+        return _WORD_LEX[self.language]
+
+    def _rewrite(self) -> None:
+        out: list[Token] = []
+        code, waiting, cases = self.code, "", 0
+        depth = 0
+        for k, t in enumerate(code):
+            new_line = k == 0 or code[k - 1].row < t.row or code[k - 1].text in (";", "then", "do", "else")
+            made = lambda *texts, t=t: out.extend(Token(x, "name" if x.isalpha() else "op", t.row, t.col, True) for x in texts)
+            if self.language == "ruby" and new_line and waiting and depth == 0:
+                if any(x.text == "def" for x in out[-2:]):  # no parameters
+                    made("(", ")")
+                made(waiting)
+                waiting = ""
+            depth += t.kind == "op" and (t.text in "([") - (t.text in ")]")
+            word = t.text if t.kind == "name" else ""
+            if word == "and" or word == "or":
+                made("&&" if word == "and" else "||")
+            elif word in ("end", "fi", "done", "esac") and not (word == "end" and self.language == "bash") and not (word != "end" and self.language != "bash"):
+                made("}")
+                cases -= word == "esac"
+            elif word in ("elseif", "elsif", "elif"):
+                made("}", "else", "if")
+                waiting = "{"
+            elif word == "else" and out and out[-1].text != "}":
+                made("}", "else", "{")
+            elif word in ("then", "do") and not (self.language == "ruby" and word == "do" and waiting != "{"):
+                made("{" if waiting != ":" else ":")
+                waiting = ""
+            elif self.language == "lua":
+                self._lua(t, word, out, made)
+            elif self.language == "bash":
+                if word == "case" and new_line:
+                    made("switch")
+                    cases += 1
+                elif word == "in" and cases and any(x.text == "switch" for x in out[-4:]):
+                    made("{")
+                elif t.text == ")" and t.kind == "op" and cases and depth < 0:
+                    made(";", "default" if code[k - 1].text == "*" else "case", ":")
+                    depth = 0
+                elif t.text == ";;":
+                    made(";")
+                else:
+                    out.append(t)
+            else:
+                waiting = self._ruby(t, word, new_line, waiting, out, made)
+        self.code = out
+
+    def _lua(self, t: Token, word: str, out: list[Token], made) -> None:
+        if word == "repeat":
+            made("do", "{")
+        elif word == "until":
+            made("}")
+        else:
+            out.append(t)
+            if t.text == ")" and t.kind == "op":  # the list of a function's parameters
+                n = 0
+                for j in range(len(out) - 1, -1, -1):
+                    n += (out[j].text == ")") - (out[j].text == "(") if out[j].kind == "op" else 0
+                    if n == 0:
+                        if any(x.text == "function" for x in out[max(0, j - 4) : j]) and not any(x.text in ("(", ")", "{", "}") for x in out[max(0, j - 1) : j]):
+                            made("{")
+                        break
+
+    def _ruby(self, t: Token, word: str, new_line: bool, waiting: str, out: list[Token], made) -> str:
+        if word in ("if", "unless", "while", "until") and not new_line:
+            out.append(Token(t.text, "modifier", t.row, t.col))
+        elif word in ("if", "unless"):
+            made("if")
+            return "{"
+        elif word in ("while", "until", "for"):
+            made("while")
+            return "{"
+        elif word == "case":
+            made("switch")
+            return "{"
+        elif word == "when":
+            made("case")
+            return ":"
+        elif word in ("def", "class", "module") and new_line:
+            out.append(t)
+            if word == "def":
+                out[-1] = Token("def", "name", t.row, t.col)
+            return "{"
+        elif word == "begin":
+            made("try", "{")
+        elif word == "rescue":
+            made("}", "catch")
+            return "{"
+        elif word == "ensure":
+            made("}", "finally", "{")
+        elif word == "do":
+            made("=>", "{")
+        elif t.text == "." and len(out) > 1 and out[-1].text == "self" and out[-2].text == "def":
+            out.pop()
+        else:
+            out.append(t)
+        return waiting
+
+
+SCANNED = (*LANGUAGES, *_WORD_LEX)
+
+
+def scan(text: str, language: str, directive: re.Pattern) -> BraceFile:
+    return (KeywordFile if language in _WORD_LEX else BraceFile)(text, language, directive)

@@ -33,7 +33,7 @@ def is_minified(text: Column) -> Column:
 
 
 #: Languages whose structure is measured.
-PARSERS = ("python", *braces.LANGUAGES)
+PARSERS = ("python", *braces.SCANNED)
 
 
 def route(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
@@ -46,7 +46,7 @@ def route(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
     key = F.regexp_replace("language_key", "^notebook:", "")
     reason = F.when(is_generated_path(F.col("path")), "generated").when(has_generated_header(text), "generated").when(is_minified(text), "minified")
     tier = F.when(reason.isNotNull(), 3).when(key.isin(*parsers), 1).otherwise(2)
-    note = F.when(reason.isNull() & key.isin(*braces.LANGUAGES), "measured by a token scanner").when(reason.isNull() & ~key.isin(*parsers) & key.isin(*STRUCTURED), F.concat(F.lit("no parser for "), key, F.lit("; partial analysis")))
+    note = F.when(reason.isNull() & key.isin(*braces.SCANNED), "measured by a token scanner").when(reason.isNull() & ~key.isin(*parsers) & key.isin(*STRUCTURED), F.concat(F.lit("no parser for "), key, F.lit("; partial analysis")))
     return files.withColumns({"tier": tier, "skip_reason": reason, "note": note})
 
 

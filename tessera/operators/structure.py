@@ -1,6 +1,6 @@
 """Structural measurements of source code: functions and classes with complexity, nesting, vocabulary and size.
 
-Python is parsed with the interpreter's own grammar, languages with braces are scanned (operators/braces.py). A file that
+Python is parsed with the interpreter's own grammar, most other languages are scanned (operators/braces.py). A file that
 doesn't parse falls back to what its text tells (operators/generic.py) and is marked.
 """
 
@@ -255,8 +255,8 @@ def measure_structure(files: DataFrame, prefix: str = DIRECTIVE_PREFIX) -> DataF
 
     def one(key: str, text: str) -> dict:
         try:
-            if key in braces.LANGUAGES:
-                p = braces.BraceFile(text, key, directive)
+            if key in braces.SCANNED:
+                p = braces.scan(text, key, directive)
                 functions, tokens = p.functions(halstead, maintainability, NO_OPERATORS), [(t.text, t.row) for t in p.code]
             else:
                 p = PythonFile(text, prefix)

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tessera.operators import routing, rules, structure
-from tessera.operators.braces import BraceFile
+from tessera.operators.braces import BraceFile, scan
 
 DIRECTIVE = re.compile(r"tessera-disable(-next-line|-line|-file)?\b[:\s]*([A-Za-z0-9,\s]*)", re.I)
 #: How each language declares a function and a variable, and writes a condition.
@@ -64,7 +64,27 @@ def test_broken_text_ends(text, language):
 
 
 def test_in_the_engine(spark):
-    files = spark.createDataFrame([("a.js", "javascript", MIXED), ("b.lua", "lua", "x = 1")], "path string, language_key string, text string")
+    files = spark.createDataFrame([("a.js", "javascript", MIXED), ("b.ml", "ocaml", "let x = 1")], "path string, language_key string, text string")
     done = {r["path"]: r for r in rules.evaluate(structure.analyze(routing.route(files))).collect()}
-    assert (done["a.js"]["tier"], len(done["a.js"]["functions"]), done["b.lua"]["tier"]) == (1, 3, 2)
+    assert (done["a.js"]["tier"], len(done["a.js"]["functions"]), done["b.ml"]["tier"]) == (1, 3, 2)
     assert [f["rule_id"] for f in done["a.js"]["findings"]] == ["CQ011"]
+
+
+WORDS = {
+    "lua": "-- note\nlocal function classify(a, b)\n  if a > 0 and b > 0 then\n    return 1\n  elseif a < 0 then\n    return 2\n  else\n    return 3\n  end\nend\nfunction M.looping(a, b)\n  for i = 1, a do\n    while b do\n      if i == b then f(a) end\n    end\n  end\nend\n",
+    "ruby": "class A\n  def classify(a, b)\n    if a > 0 && b.empty?\n      1\n    elsif a < 0\n      2\n    else\n      3\n    end\n  end\n\n  def looping(a, b)\n    for i in a\n      while b\n        x if b == i\n      end\n    end\n  end\n\n  def self.none\n    begin\n      x.each do |y|\n        z\n      end\n    rescue E => e\n      nil\n    end\n  end\nend\n",
+    "bash": "classify() {\n  if [ $a -gt 0 ] && [ $b -gt 0 ]; then\n    echo 1\n  elif [ $a ]; then\n    echo 2\n  else\n    echo 3\n  fi\n}\nfunction looping() {\n  for i in $a; do\n    while true; do\n      if [ $i ]; then x; fi\n    done\n  done\n}\npick() {\n  case $1 in\n    a) x ;;\n    *) y ;;\n  esac\n}\n",
+}
+
+
+@pytest.mark.parametrize("language", WORDS)
+def test_word_blocks(language):
+    units = scan(WORDS[language], language, DIRECTIVE).units
+    n = 0 if language == "bash" else 2
+    assert [(u.cyclomatic, u.cognitive, u.depth, u.params) for u in units[:2]] == [(4, 4, 1, n), (4, 6, 3, n)]
+    if language == "ruby":
+        assert (units[2].name, units[2].cyclomatic, units[2].params) == ("none", 2, 0)
+    if language == "bash":
+        assert (units[2].name, units[2].cyclomatic) == ("pick", 2)
+    for k in range(0, len(WORDS[language]), 7):
+        scan(WORDS[language][:k], language, DIRECTIVE)

@@ -46,9 +46,9 @@ def test_directives(spark):
 
 
 def test_routing(spark):
-    rows = [("a.min.js", "javascript", "x"), ("b.c", "c", "/* auto-generated */"), ("c.c", "c", "var a=1;" * 1000), ("d.py", "python", "x=1"), ("e.c", "c", "int x;"), ("f.lua", "lua", "x = 1")]
+    rows = [("a.min.js", "javascript", "x"), ("b.c", "c", "/* auto-generated */"), ("c.c", "c", "var a=1;" * 1000), ("d.py", "python", "x=1"), ("e.c", "c", "int x;"), ("f.ml", "ocaml", "let x = 1")]
     got = {r["path"]: (r["tier"], r["skip_reason"]) for r in routing.route(spark.createDataFrame(rows, FILE)).collect()}
-    assert got == {"a.min.js": (3, "generated"), "b.c": (3, "generated"), "c.c": (3, "minified"), "d.py": (1, None), "e.c": (1, None), "f.lua": (2, None)}
+    assert got == {"a.min.js": (3, "generated"), "b.c": (3, "generated"), "c.c": (3, "minified"), "d.py": (1, None), "e.c": (1, None), "f.ml": (2, None)}
 
 
 def test_languages(spark):
