@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import BYTE_VALUE, chunks, mix, range_hash, range_sums, texts_of
 
 #: Bytes of text that are split into pre-tokens at once.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 #: Encodings of pre-tokens outside the vocabulary that a worker remembers; when full, it starts anew.
-MEMORY = 600_000
+MEMORY = 150_000
 #: Characters of a text from which its pre-tokens are taken block by block.
 LONG = 1 << 20
 BLOCK = 200_000
