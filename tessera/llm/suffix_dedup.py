@@ -24,8 +24,9 @@ from tessera.llm.common import BYTE_VALUE, CHUNK_BYTES, chunks, durable, free, m
 
 #: Length of the repeated strings, and of the anchors within them.
 LENGTH, ANCHOR = 100, 20
-#: Bytes that a shard's suffix array is meant for, and occurrences of one anchor from which it is dealt over all shards.
-SHARD_BYTES, HOT = 3 << 20, 16384
+#: Bytes that a shard's suffix array is meant for, and occurrences of one anchor (of 180 bytes at most) from which it is
+#: dealt over all shards. A worker needs some 45 times the bytes.
+SHARD_BYTES, HOT = 4 << 20, 32768
 
 _BYTE_VALUE_2 = mix(BYTE_VALUE)
 
@@ -78,27 +79,32 @@ def suffix_array(body: np.ndarray, ends: np.ndarray) -> np.ndarray:
     groups that aren't single yet are touched again.
     """
     n = len(body)
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     key = np.zeros(n, np.int64)
-    for j in range(7):
+    for j in range(min(7, n)):
         digit = np.zeros(n, np.int64)
         digit[: n - j] = body[j:]
-        key = key * 257 + np.where(place + j < ends, digit + 1, 0)
-    sa = np.argsort(key, kind="stable")
+        digit += 1
+        digit[place + j >= ends] = 0
+        key *= 257
+        key += digit
+    for _ in range(n, 7):
+        key *= 257
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     key = key[sa]
     fresh = np.concatenate(([True], key[1:] != key[:-1])) if n else np.zeros(0, bool)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(fresh, place, 0)) if n else 0
     h, longest = 7, int((ends - place).max()) if n else 0
     while h < longest:
         head = rank[sa]
-        several = np.flatnonzero((np.concatenate((head[1:] == head[:-1], [False]))) | (np.concatenate(([False], head[1:] == head[:-1]))))
+        same = head[1:] == head[:-1]
+        several = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
         if not len(several):
             break
-        i = sa[several]
+        i, head = sa[several], head[several]
         on = i + h < ends[i]
-        second = np.where(on, rank[np.where(on, i + h, 0)] + 1, 0)
-        key = head[several] * (n + 1) + second
+        key = head.astype(np.int64) * (n + 1) + np.where(on, rank[np.where(on, i + h, 0)] + 1, 0)
         order = np.argsort(key, kind="stable")
         key, i = key[order], i[order]
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
@@ -113,10 +119,10 @@ def common_prefixes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, sa:
 
     starts are the pieces' first positions; ends[i] is the end of the piece that holds i.
     """
-    inverse = np.empty(len(sa), np.int64)
-    inverse[sa] = np.arange(len(sa))
-    out = np.zeros(len(sa), np.int64)
-    i, h = starts.copy(), np.zeros(len(starts), np.int64)
+    inverse = np.empty(len(sa), np.int32)
+    inverse[sa] = np.arange(len(sa), dtype=np.int32)
+    out = np.zeros(len(sa), np.int32)
+    i, h = starts.astype(np.int32), np.zeros(len(starts), np.int32)
     stop = ends[starts] if len(starts) else starts
     while len(i):
         q = inverse[i]
@@ -150,8 +156,8 @@ def shard_repeats(doc: np.ndarray, begin: np.ndarray, pieces: list[bytes], hot:
     size = np.array([len(p) for p in pieces], np.int64)
     body = np.frombuffer(b"".join(pieces), np.uint8)
     starts = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(pieces)), size)
-    ends = (starts + size)[owner]
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+    ends = (starts + size).astype(np.int32)[owner]
     sa = suffix_array(body, ends)
     shared = common_prefixes(body, starts, ends, sa)
     first = np.lexsort((begin, doc))
@@ -201,9 +207,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     free(spark)
     firsts = durable(found.groupBy("anchor", "whole").agg(F.min(F.struct("doc", "run")).alias("f")).select("anchor", "whole", F.col("f.doc").alias("fdoc"), F.col("f.run").alias("frun")))
     start, count = F.shiftrightunsigned("run", 16), F.col("run").bitwiseAND(65535)
-    copies = found.join(firsts, ["anchor", "whole"]).where("doc <> fdoc OR run <> frun").select("doc", start.alias("start"), (start + count + length - 1).alias("end"))
+    copies = durable(found.join(firsts, ["anchor", "whole"]).where("doc <> fdoc OR run <> frun").select("doc", start.alias("start"), (start + count + length - 1).alias("end")))
     kinds = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = durable(firsts.join(kinds, "anchor").select("anchor", F.col("fdoc").alias("doc"), F.col("frun").alias("run"), (F.col("kinds") > HOT).alias("hot")))
+    del found, firsts, kinds
+    free(spark)
     size = (mixed.agg(F.sum(F.col("run").bitwiseAND(65535) + length - 1)).first()[0] or 0)
     shards = max(1, -(-size // SHARD_BYTES))
     shard = F.pmod(F.when(F.col("hot"), F.xxhash64("anchor", "doc", "run")).otherwise(F.xxhash64("anchor")), F.lit(shards)).cast("int")
@@ -239,7 +247,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         return pa.table({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in columns.items()})
 
     solved = durable(pieces.groupBy("shard").applyInArrow(solve, "doc long, start long, end long, first long, x long, y long"))
-    del found, pieces
+    del pieces, wanted, mixed
     free(spark)
     ranges = copies.union(solved.where("first = 0").select("doc", "start", "end"))
     classes = solved.where("first = 1")
