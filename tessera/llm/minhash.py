@@ -6,17 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, durable, mix, shingle_hashes, shingle_set, texts_of, word_hashes
+from tessera.llm.common import chunks, durable, free, mix, shingle_hashes, shingle_set, texts_of, word_hashes
 from tessera.llm.components import connected_components
 
 WORDS = 5
 #: Links need 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 85
-#: 36 bands of 7 values, from 126 permutations: at a similarity of 0.85 a pair misses every band once in a million.
-BANDS, ROWS = 36, 7
+#: 44 bands of 9 values, from 198 permutations: at a similarity of exactly 0.85 one pair in 100,000 misses every band.
+BANDS, ROWS = 44, 9
+#: Buckets of up to so many members are compared all with all, where their members aren't in one component.
+SMALL = 8
+#: Members of a larger bucket that the first round draws.
+FIRST_SHARE = 64
 
 _RNG = np.random.RandomState(4711)
 _random64 = lambda n: (_RNG.randint(0, 1 << 32, n, dtype=np.uint64) << np.uint64(32)) | _RNG.randint(0, 1 << 32, n, dtype=np.uint64)
@@ -131,6 +135,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """bucket (a shingle), rep, n, m and keys (all its buckets in order) for the prefix of each set: enough of its rarest shingles that a set of another component that is similar enough shares one.
+
+    Shingles of one component only can't link two; they come first in the order and are left out; m is
+    the number of the others, the most that the set can share with one of another component.
+    """
+    named = sets.join(labels, sets["rep"] == labels["node"], "left").select("rep", F.size("shingles").cast("long").alias("n"), F.coalesce("label", "rep").alias("label"), "shingles")
+    flat = named.select("rep", "n", "label", F.explode("shingles").alias("bucket"))
+    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "f")
+    ordered = flat.join(shared, "bucket").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "bucket"))).alias("s"))
+    least = F.expr(f"(n * {percent} + 99) div 100")
+    length = (F.col("n") - least + 1) - (F.col("n") - F.size("s"))
+    keys = F.transform(F.slice("s", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda x: x["bucket"])
+    return ordered.where(length > 0).select("rep", "n", F.size("s").cast("long").alias("m"), keys.alias("keys")).withColumn("bucket", F.explode("keys"))
+
+
 def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -141,10 +161,14 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
        doc_id goes on. A hot group of copies is thereby combined before any shuffle.
     2. Buckets: representatives with an equal band key. Each is compared with the bucket's smallest member, a number of
        pairs as large as the bucket.
-    3. What these links leave apart within a bucket is compared in rounds. A round draws a share of the members that
-       haven't been compared yet, four times as many as the round before, and compares them with the members of other
-       components; a bucket is done when its open members lie in one component. So no link within a bucket is lost, and
-       buckets that hold one group, the usual hot case, are done without rounds.
+    3. What these links leave apart: members of different components in a bucket of up to SMALL are compared with each
+       other. Larger buckets come about where many documents share a passage but little else. Their members get new,
+       exact buckets, by prefixes: of a set of n shingles, ordered with the rarest first, the first
+       n - ceil(percent * n / 100) + 1; two sets that are similar enough share one of these. A common passage is at the
+       end of that order.
+    4. Buckets of prefixes whose members are in different components are compared in rounds. A round draws a share of
+       the members that haven't been compared yet, sixteen times as many as the round before, and compares them with the
+       members of other components; a bucket is done when its open members lie in one component. So no link is lost.
 
     A null or empty text, or one without words, has no shingles, and is a class of its own. A repeated doc_id stands for
     each of its rows: they count as one document if their texts have one set. A row whose doc_id is null has a null
@@ -164,25 +188,50 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
     sets = durable(full_sets(named.join(wanted, named["doc_id"] == wanted["rep"], "left_semi"), width).dropDuplicates(["rep"]))
     edges = durable(_verified(tested, sets, percent))
     labels = durable(connected_components(edges))
-    open_members = members.where("rep > pivot").select("bucket", "rep", "n")
-    share = 8
-    while True:
-        state = open_members.join(labels, open_members["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
-        state = durable(state.join(mixed, "bucket"))
-        if state.isEmpty():
-            break
-        drawn = (F.col("size") <= share) | (F.pmod(F.xxhash64("rep", F.lit(share)), F.col("size")) < share)
-        left = state.where(drawn).select("bucket", F.col("rep").alias("x"), F.col("n").alias("pn"), F.col("label").alias("xl"))
-        pairs = state.join(left, "bucket").where("label <> xl").where(near).select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        pairs = durable(pairs)
+    free(docs.sparkSession)
+
+    def compare(pairs: DataFrame) -> None:
+        """Verify pairs(u, v) that haven't been, and bring labels up to date."""
+        nonlocal edges, labels, tested
+        pairs = durable(pairs.join(tested, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():
+            return
         found = durable(_verified(pairs, sets, percent))
+        tested = tested.union(pairs)
         if not found.isEmpty():
             edges = edges.union(found)
             labels = durable(connected_components(edges))
-        tested = tested.union(pairs)
-        open_members = state.where(~drawn).select("bucket", "rep", "n")
-        share *= 4
+        free(docs.sparkSession)
+
+    def mixed(open_members: DataFrame) -> DataFrame:
+        """Open members with their labels, of buckets where these differ, and the bucket's size."""
+        state = open_members.join(labels, open_members["rep"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
+        return durable(state.join(apart, "bucket"))
+
+    def across(state: DataFrame, drawn: Column) -> DataFrame:
+        """Pairs of a drawn member and one of another component that can still be similar enough, each in the first bucket that both are in, and once."""
+        marked = state.withColumn("drawn", drawn)
+        left = marked.where("drawn").select("bucket", F.col("rep").alias("x"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("xl"), F.col("keys").alias("pkeys"))
+        enough = f"{100 + percent} * least(m, pm) >= {percent} * (n + pn)"
+        first = "try_element_at(array_intersect(keys, pkeys), 1) = bucket"
+        return marked.join(left, "bucket").where(f"label <> xl AND (NOT drawn OR rep > x) AND {enough} AND {first}").select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v"))
+
+    state = mixed(members.where("rep > pivot").select("bucket", "rep", "n", F.col("n").alias("m")))
+    small = state.where(F.col("size") <= SMALL)
+    hot = durable(state.where(F.col("size") > SMALL).select("rep").distinct())
+    # small buckets only: a pair that shares a large one is found by its prefixes
+    shared = small.groupBy("rep").agg(F.array_sort(F.collect_set("bucket")).alias("keys"))
+    compare(across(small.join(shared, "rep"), F.lit(True)))
+    open_members, share = durable(_prefixes(sets.join(hot, "rep"), labels, percent)), FIRST_SHARE
+    while True:
+        state = mixed(open_members)
+        if state.isEmpty():
+            break
+        drawn = (F.col("size") <= share) | (F.pmod(F.xxhash64("rep", F.lit(share)), F.col("size")) < share)
+        compare(across(state, drawn))
+        open_members = state.where(~drawn).drop("label", "size")
+        share *= 16
     final = reps.join(labels, reps["rep"] == labels["node"], "left").select("d1", "d2", F.col("n_shingles").alias("n"), F.coalesce("label", "rep").alias("label"))
     joined = facts.drop("bands").join(final, (facts["d1"] == final["d1"]) & (facts["d2"] == final["d2"]) & (facts["n_shingles"] == final["n"]) & facts["doc_id"].isNotNull(), "left")
     out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))

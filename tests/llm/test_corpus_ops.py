@@ -110,6 +110,7 @@ def near_rows():
 @pytest.mark.parametrize("small", [8, 2])
 def test_near_duplicates(spark, small, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "FIRST_SHARE", small)
     rows = near_rows()
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
