@@ -16,6 +16,9 @@ from tessera.llm.minhash import near_duplicate_classes
 from tessera.llm.secret_scan import redact_secrets
 from tessera.llm.string_tiling import find_leaks
 
+#: Near copies share at least so many percent of their shingles of five words.
+NEAR_PERCENT = 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; null texts and texts without letters go."""
@@ -25,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate class. Rows that repeat a doc_id are one document; rows without one can't be told apart and stay."""
-    kept = near_duplicate_classes(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicate_classes(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 

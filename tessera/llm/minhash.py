@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,27 @@ from tessera.llm.components import connected_components
 WORDS = 5
 #: Links need 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 85
-#: 44 bands of 9 values, from 198 permutations: at a similarity of exactly 0.85 one pair in 100,000 misses every band.
-BANDS, ROWS = 44, 9
+#: A pair at exactly the least similarity misses all bands once in so many.
+ONE_MISS_IN = 100_000
+#: Values of a signature, for all bands together.
+MOST_VALUES = 400
 #: Buckets of up to so many members are compared all with all, where their members aren't in one component.
 SMALL = 8
 #: Members of a larger bucket that the first round draws.
 FIRST_SHARE = 64
 
+
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and rows for a least similarity of percent / 100: the longest bands, and as many of them as ONE_MISS_IN asks for, that fit MOST_VALUES."""
+    least = min(max(percent, 1), 99) / 100
+    needed = lambda rows: math.ceil(math.log(1 / ONE_MISS_IN) / math.log1p(-(least**rows)))
+    rows = max((r for r in range(1, MOST_VALUES + 1) if least**r > 1e-9 and needed(r) * r <= MOST_VALUES), default=1)
+    return needed(rows), rows
+
+
+#: 44 bands of 9 values, from 198 permutations, for a similarity of 0.85.
+BANDS, ROWS = bands_for(PERCENT)
+
 _RNG = np.random.RandomState(4711)
 _random64 = lambda n: (_RNG.randint(0, 1 << 32, n, dtype=np.uint64) << np.uint64(32)) | _RNG.randint(0, 1 << 32, n, dtype=np.uint64)
 _FLIP, _FACTOR = _random64(1024), _random64(1024) | np.uint64(1)
@@ -151,11 +166,12 @@ def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return ordered.where(length > 0).select("rep", "n", F.size("s").cast("long").alias("m"), keys.alias("keys")).withColumn("bucket", F.explode("keys"))
 
 
-def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     Sets are the distinct shingles of ``width`` words of the whole text. Documents are linked where their full sets
     satisfy 100 * |A and B| >= percent * |A or B|; component_id is the smallest doc_id reachable over links.
+    Bands follow percent.
 
     1. Documents with one and the same set form a class at once, by a grouping on the set's digest; only its smallest
        doc_id goes on. A hot group of copies is thereby combined before any shuffle.
@@ -175,7 +191,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
     component and isn't kept. Columns other than doc_id and text are not read.
     """
     named = docs.where("doc_id IS NOT NULL")
-    facts = durable(document_sets(docs, width, bands, rows))
+    facts = durable(document_sets(docs, width, *bands_for(percent)))
     whole = facts.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = durable(whole.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
     placed = reps.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))

@@ -233,3 +233,22 @@ def test_pipeline(spark, tmp_path):
     text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()}
     assert text[8] == ("keep this plain text with [secret] inside", 41)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 8, 9, None}
+
+
+def test_bands_follow_the_similarity():
+    assert minhash.bands_for(85) == (minhash.BANDS, minhash.ROWS) == (44, 9)
+    for percent in (1, 50, 80, 85, 90, 99, 100):
+        bands, rows = minhash.bands_for(percent)
+        assert (1 - (min(percent, 99) / 100) ** rows) ** bands <= 1e-5
+        assert bands * rows <= 2 * len(minhash._FLIP)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    text = lambda tail, k: " ".join([*words[: 104 - k], *(f"{tail}{i}" for i in range(k))])
+    rows = [(1, " ".join(words)), (2, text("b", 10)), (3, text("c", 12))]  # 90 of 110 shingles are 0.818, 88 of 112 are 0.786
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {1, 3}
