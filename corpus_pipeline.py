@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import encode_documents, public_tokenizer
-from tessera.llm.common import table
+from tessera.llm.common import durable, table
 from tessera.llm.language_id import UNKNOWN, identify, is_held_out, prototypes
 from tessera.llm.minhash import near_duplicate_classes
 from tessera.llm.secret_scan import redact_secrets
@@ -21,16 +21,28 @@ NEAR_PERCENT = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; null texts and texts without letters go."""
+    """Documents in which a language is recognised; null texts and texts without letters go. Where no row has a language to learn from, all texts with letters stay."""
     names, vectors = prototypes(docs, ~is_held_out())
+    if not names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return identify(docs, names, vectors).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class. Rows that repeat a doc_id are one document; rows without one can't be told apart and stay."""
-    kept = near_duplicate_classes(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The document with the smallest doc_id of each near-duplicate class.
+
+    Rows that repeat a doc_id and its text are one document, of which the first row by all columns stays. Where a doc_id has
+    different texts, each of them is a document, in the order of doc_id and the text's hash. Rows without a doc_id can't be
+    told apart and stay.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    text = F.xxhash64("text")
+    told = durable(named.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("doc_id"))
+    key = F.col("doc_id") if told.isEmpty() else F.struct("doc_id", text.alias("text"))
+    keyed = named.select(key.alias("__key"), *docs.columns)
+    kept = near_duplicate_classes(keyed.select(F.col("__key").alias("doc_id"), "text"), NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("__key")).distinct()
+    first = keyed.join(kept, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return first.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,3 +252,25 @@ def test_pipeline_links_near_copies_from_80_percent(spark):
     rows = [(1, " ".join(words)), (2, text("b", 10)), (3, text("c", 12))]  # 90 of 110 shingles are 0.818, 88 of 112 are 0.786
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {1, 3}
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+def test_pipeline_keeps_each_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    rows = [
+        (1, " ".join(words), "b"), (1, "a text that is no copy of anything else", "s"), (2, " ".join([*words[:100], "x", "y", "z", "q"]), "s"), (1, " ".join(words), "a"),
+        (3, "another text that stands here once only", "s"), (3, "Another text that stands here once only", "s"), (4, "and one more that is alone as well", "s"),
+    ]
+    docs = spark.createDataFrame([(i, t, None, s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r["doc_id"], r["text"].lower(), r["source"]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert got == sorted([(1, rows[0][1], "a"), (1, rows[1][1], "s"), (3, rows[4][1], "s"), (4, rows[6][1], "s")])
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+def test_pipeline_without_any_language(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "Ünï", None), (5, "", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()} == {1, 4}
