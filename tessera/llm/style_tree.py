@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import durable
@@ -29,6 +29,9 @@ DAMPING = 0.9
 #: A node is judged if at least so many pages of the host, and this share of them, have it.
 LEAST_PAGES, LEAST_SHARE = 8, 0.01
 
+#: Copied pages of up to so many different contents travel to the pages; beyond, pages are dealt by content.
+FEW_COPIES = 100_000
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is code or is never shown.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title".split())
@@ -186,25 +189,26 @@ def _ancestors(node: Node) -> Iterator[Node]:
 
 
 def main_text(html: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text: blocks of important branches, within article (or else main) where there is one with text."""
+    """The page's main text: blocks of important branches, within article (or else main) where there is one with text.
+
+    What is cut in an article or main is cut by branches within it; where these hold all its text, the text stays.
+    """
     _, blocks = parse(html)
-    kept = []
+    seen = []
     for node, text in blocks:
         if node.off:
             continue
-        tags, cut = set(), False
+        tags, cut, within = set(), False, False
         for x in _ancestors(node):
             tags.add(x.tag)
-            if x.path in low and x.tag not in ("#root", "html", "body"):
-                cut = True
-                break
-        if not cut:
-            kept.append((tags, text))
+            within = within or x.tag in ("article", "main")
+            cut = cut or (not within and x.path in low and x.tag not in ("#root", "html", "body"))
+        seen.append((tags, text, cut))
     for around in ("article", "main"):
-        within = [t for tags, t in kept if around in tags]
-        if within:
-            return "\n".join(within)
-    return "\n".join(t for _, t in kept)
+        there = [(text, cut) for tags, text, cut in seen if around in tags]
+        if there:
+            return "\n".join([t for t, cut in there if not cut] or [t for t, _ in there])
+    return "\n".join(t for _, t, cut in seen if not cut)
 
 
 def page_features(html: str) -> set[tuple[int, int, int, int]]:
@@ -231,10 +235,14 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _host_column() -> Column:
+    return F.coalesce(F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
+
+
 def style_trees(pages: DataFrame) -> DataFrame:
     """host, path, parent, pages, importance of each element that enough pages of a host share.
 
-    A page counts a feature once. Tasks add up their own pages' counts before the shuffle, counts meet by feature, then
+    A page counts a feature once, and equal pages of a host count as one: each of n copies adds 1 / n. Tasks add up their own pages' counts before the shuffle, counts meet by feature, then
     by path, so a host with a third of all pages is spread over tasks. A presentation's entropy is taken to the base of
     the number of pages m; a content that k pages share has ln k / ln m. Only paths with LEAST_SHARE of a host's pages
     go on, at most 1 / LEAST_SHARE times a page's own number, and only these meet by host for the way up the tree.
@@ -242,17 +250,21 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: dict[tuple, int] = {}
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            count: dict[tuple, float] = {}
+            for url, html, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 host = host_of(url)
                 for f in page_features(html or ""):
-                    count[host, *f] = count.get((host, *f), 0) + 1
+                    count[host, *f] = count.get((host, *f), 0.0) + 1 / (n or 1)
             if count:
                 host, path, parent, kind, feature = zip(*count, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(list(map(_signed, x)), pa.int64()) for x in (path, parent)), pa.array(kind, pa.int32()), pa.array(list(map(_signed, feature)), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["host", "path", "parent", "kind", "feature", "k"])
-
-    features = pages.select("url", "html").mapInArrow(run, "host string, path long, parent long, kind int, feature long, k long")
-    shared = features.groupBy("host", "path", "parent", "kind", "feature").agg(F.sum("k").alias("k"))
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(list(map(_signed, x)), pa.int64()) for x in (path, parent)), pa.array(kind, pa.int32()), pa.array(list(map(_signed, feature)), pa.int64()), pa.array(list(count.values()), pa.float64())], names=["host", "path", "parent", "kind", "feature", "k"])
+
+    same = ["same1", "same2"]
+    told = pages.select("url", "html", F.xxhash64(_host_column(), "html").alias("same1"), F.xxhash64("html", _host_column()).alias("same2"))
+    copies = durable(told.groupBy(same).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    weighed = told.join(F.broadcast(copies) if copies.count() <= FEW_COPIES else copies, same, "left").select("url", "html", "n")
+    features = weighed.mapInArrow(run, "host string, path long, parent long, kind int, feature long, k double")
+    shared = features.groupBy("host", "path", "parent", "kind", "feature").agg(F.round(F.sum("k")).cast("long").alias("k"))
     look, content = F.col("kind") == 0, F.col("kind") == 1
     nodes = shared.groupBy("host", "path", "parent").agg(
         F.sum(F.when(look, F.col("k"))).alias("pages"), F.count(F.when(look, 1)).alias("looks"), F.sum(F.when(look, F.col("k") * F.log("k"))).alias("look_sum"),
@@ -298,8 +310,7 @@ def extract_main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTAN
     """
     trees = style_trees(pages)
     cuts = durable(trees.where(F.col("importance") < least_importance).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low")))
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)), F.lit("")).alias("host")
-    joined = pages.select("page_id", "url", "html", host).join(cuts, "host", "left").select("page_id", "url", "html", "low")
+    joined = pages.select("page_id", "url", "html", _host_column().alias("host")).join(cuts, "host", "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, frozenset[int]] = {}

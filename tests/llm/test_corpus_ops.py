@@ -274,3 +274,26 @@ def test_pipeline_without_any_language(spark):
 
     docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "Ünï", None), (5, "", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()} == {1, 4}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_style_tree_counts_copies_once(spark, few, monkeypatch):
+    monkeypatch.setattr(style_tree, "FEW_COPIES", few)
+    page = lambda i: f"<body><article><h1>Head {i}</h1><p>Text of article {i}</p></article></body>"
+    bare = lambda i: f"<body><div class=box><p>Text of page {i}</p></div></body>"
+    rows = [(i, f"http://one.example/{i}", page(1)) for i in range(30)] + [(100 + i, f"http://two.example/{i}", page(i % 2)) for i in range(200)] + [(400 + i, f"http://bare.example/{i}", bare(i % 3)) for i in range(60)]
+    r = {x["page_id"]: x["text"] for x in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {r[i] for i in range(30)} == {"Head 1\nText of article 1"}
+    assert {r[100 + i] for i in range(200)} == {f"Head {k}\nText of article {k}" for k in range(2)}
+    assert {r[400 + i] for i in range(60)} == {f"Text of page {k}" for k in range(3)}
+    trees = style_tree.style_trees(spark.createDataFrame([*rows, *[(500 + i, f"http://many.example/{i // 3}", page(i // 3)) for i in range(30)]], "page_id long, url string, html string").repartition(5))
+    assert {(x["host"], x["pages"]) for x in trees.collect()} == {("many.example", 10)}
+
+
+def test_cuts_leave_the_article():
+    html = "<body><div><article><h1>Head</h1><p>Text</p></article></div></body>"
+    paths = {n.path for b, _ in style_tree.parse(html)[1] for n in style_tree._ancestors(b)}
+    heading, text = (b.path for b, _ in style_tree.parse(html)[1])
+    assert style_tree.main_text(html, paths) == "Head\nText"
+    assert style_tree.main_text(html, paths - {heading}) == "Head"
+    assert style_tree.main_text(html, {text}) == "Head"
