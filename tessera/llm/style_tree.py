@@ -11,10 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
-from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,8 +24,8 @@ from tessera.llm.common import durable
 LEAST_IMPORTANCE = 0.2
 #: Weight of what lies below a node, to the power of its number of presentations.
 DAMPING = 0.9
-#: A node is judged if at least so many pages of the host, and this share of them, have it.
-LEAST_PAGES, LEAST_SHARE = 8, 0.01
+#: A node is judged if at least so many pages of the host have it.
+LEAST_PAGES = 8
 
 #: Copied pages of up to so many different contents travel to the pages; beyond, pages are dealt by content.
 FEW_COPIES = 100_000
@@ -57,11 +55,12 @@ _END = {t: re.compile(rf"(?i)</{t}\s*>") for t in RAW}
 
 
 class Node:
-    __slots__ = ("children", "key", "off", "parent", "path", "tag")
+    __slots__ = ("children", "depth", "key", "off", "parent", "path", "tag")
 
     def __init__(self, tag: str, key: str, parent: Node | None, off: bool):
         self.tag, self.key, self.parent, self.off, self.children = tag, key, parent, off, []
         self.path = xxhash.xxh64_intdigest(key, parent.path if parent else 0)
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def _attributes(raw: str) -> tuple[str, set[str], bool]:
@@ -212,17 +211,17 @@ def main_text(html: str, low: frozenset[int] | set[int] = frozenset()) -> str:
 
 
 def page_features(html: str) -> set[tuple[int, int, int, int]]:
-    """(path, path of the parent, 0, presentation) for each element path, and (path, parent, 1, content) for each leaf text."""
+    """(path, path of the parent, 2 * depth, presentation) for each element path, and (path, parent, 2 * depth + 1, content) for each leaf text."""
     root, blocks = parse(html)
-    styles: dict[tuple[int, int], set[str]] = {}
+    styles: dict[tuple[int, int, int], set[str]] = {}
     todo = [root]
     while todo:
         node = todo.pop()
         todo += node.children
         runs = [c.key for i, c in enumerate(node.children) if i == 0 or node.children[i - 1].key != c.key]
-        styles.setdefault((node.path, node.parent.path if node.parent else 0), set()).add("\n".join(runs))
-    out = {(p, q, 0, xxhash.xxh64_intdigest("\0".join(sorted(s)))) for (p, q), s in styles.items()}
-    out.update((n.path, n.parent.path if n.parent else 0, 1, xxhash.xxh64_intdigest(t)) for n, t in blocks)
+        styles.setdefault((node.path, node.parent.path if node.parent else 0, 2 * node.depth), set()).add("\n".join(runs))
+    out = {(p, q, kind, xxhash.xxh64_intdigest("\0".join(sorted(s)))) for (p, q, kind), s in styles.items()}
+    out.update((n.path, n.parent.path if n.parent else 0, 2 * n.depth + 1, xxhash.xxh64_intdigest(t)) for n, t in blocks)
     return out
 
 
@@ -244,8 +243,9 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
     A page counts a feature once, and equal pages of a host count as one: each of n copies adds 1 / n. Tasks add up their own pages' counts before the shuffle, counts meet by feature, then
     by path, so a host with a third of all pages is spread over tasks. A presentation's entropy is taken to the base of
-    the number of pages m; a content that k pages share has ln k / ln m. Only paths with LEAST_SHARE of a host's pages
-    go on, at most 1 / LEAST_SHARE times a page's own number, and only these meet by host for the way up the tree.
+    the number of pages m; a content that k pages share has ln k / ln m. All paths with LEAST_PAGES pages go on, up the
+    tree by one round for each level: a level's nodes meet the sums over their judged children by host and path, so no
+    task holds a host. Rounds are as many as the deepest judged path is long; each is kept durably.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,48 +265,37 @@ def style_trees(pages: DataFrame) -> DataFrame:
     weighed = told.join(F.broadcast(copies) if copies.count() <= FEW_COPIES else copies, same, "left").select("url", "html", "n")
     features = weighed.mapInArrow(run, "host string, path long, parent long, kind int, feature long, k double")
     shared = features.groupBy("host", "path", "parent", "kind", "feature").agg(F.round(F.sum("k")).cast("long").alias("k"))
-    look, content = F.col("kind") == 0, F.col("kind") == 1
+    look, content = F.col("kind") % 2 == 0, F.col("kind") % 2 == 1
     nodes = shared.groupBy("host", "path", "parent").agg(
         F.sum(F.when(look, F.col("k"))).alias("pages"), F.count(F.when(look, 1)).alias("looks"), F.sum(F.when(look, F.col("k") * F.log("k"))).alias("look_sum"),
-        F.count(F.when(content, 1)).alias("contents"), F.sum(F.when(content, F.log("k"))).alias("content_sum"),
+        F.count(F.when(content, 1)).alias("contents"), F.sum(F.when(content, F.log("k"))).alias("content_sum"), F.max(F.expr("kind div 2")).alias("depth"),
     )
-    roots = nodes.where("parent = 0").select("host", F.col("pages").alias("of"))
-    enough = durable(nodes.join(roots, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("of"))))
-
-    def up(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.path: r for r in pdf.itertuples()}
-        below: dict[int, list[int]] = {}
-        for r in rows.values():
-            below.setdefault(r.parent, []).append(r.path)
-        order, todo = [], [p for p, r in rows.items() if r.parent not in rows]
-        while todo:
-            order.append(p := todo.pop())
-            todo += below.get(p, [])
-        own: dict[int, float] = {}
-        most: dict[int, float] = {}
-        for p in reversed(order):
-            r = rows[p]
-            look = log(r.pages) - r.look_sum / r.pages
-            look = look / log(r.pages) if r.pages > 1 else 1.0
-            parts = [(own[c], rows[c].pages) for c in below.get(p, [])]
-            if r.contents:
-                parts.append((1 - min(1.0, r.content_sum / r.contents / log(r.pages)), r.pages))
-            if not parts:  # neither text nor judged children: no reason to cut
-                parts = [(1.0, 1)]
-            w = DAMPING**r.looks
-            own[p] = (1 - w) * look + w * sum(a * b for a, b in parts) / sum(b for _, b in parts)
-            most[p] = max([own[p], *(most[c] for c in below.get(p, []))])
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "path": order, "parent": [rows[p].parent for p in order], "pages": [rows[p].pages for p in order], "importance": [most[p] for p in order]})
-
-    return enough.groupBy("host").applyInPandas(up, "host string, path long, parent long, pages long, importance double")
+    log_pages = F.log("pages")
+    judged = durable(nodes.where(F.col("pages") >= LEAST_PAGES).select(
+        "host", "path", "parent", "pages", "depth", F.pow(F.lit(DAMPING), "looks").alias("w"), (1 - F.col("look_sum") / F.col("pages") / log_pages).alias("look"),
+        F.when(F.col("contents") > 0, 1 - F.least(F.lit(1.0), F.col("content_sum") / F.col("contents") / log_pages)).alias("content"),
+    ))
+    deepest = judged.agg(F.max("depth")).first()[0]
+    columns = ["host", "path", "parent", "pages", "importance"]
+    tree = below = judged.where("false").select("host", "path", "parent", "pages", F.lit(0.0).alias("own"), F.lit(0.0).alias("importance"))
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        sums = below.groupBy("host", F.col("parent").alias("path")).agg(F.sum(F.col("own") * F.col("pages")).alias("part"), F.sum("pages").alias("weight"), F.max("importance").alias("most"))
+        level = judged.where(F.col("depth") == depth).join(sums, ["host", "path"], "left")
+        part = F.coalesce("part", F.lit(0.0)) + F.coalesce(F.col("content") * F.col("pages"), F.lit(0.0))
+        weight = F.coalesce("weight", F.lit(0)) + F.when(F.col("content").isNotNull(), F.col("pages")).otherwise(0)
+        mean = F.when(weight > 0, part / weight).otherwise(1.0)  # neither text nor judged children: no reason to cut
+        own = (1 - F.col("w")) * F.col("look") + F.col("w") * mean
+        below = durable(level.withColumn("own", own).select("host", "path", "parent", "pages", "own", F.greatest("own", "most").alias("importance")))
+        tree = tree.union(below)
+    return tree.select(columns)
 
 
 def extract_main_text(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url and text (the main text, blocks joined by a line feed) of each page.
 
     A null or empty page has an empty text; a null url belongs to the host with an empty name; repeated rows are
-    extracted alike; other columns are not read. The cuts of a host are joined to its pages by host; they are few by
-    construction, so Spark broadcasts them when small and else splits a hot host.
+    extracted alike; other columns are not read. The cuts of a host are joined to its pages by host; Spark broadcasts them when
+    small and else splits a hot host. Each page of a host carries all cuts of the host.
     """
     trees = style_trees(pages)
     cuts = durable(trees.where(F.col("importance") < least_importance).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low")))

@@ -297,3 +297,43 @@ def test_cuts_leave_the_article():
     assert style_tree.main_text(html, paths) == "Head\nText"
     assert style_tree.main_text(html, paths - {heading}) == "Head"
     assert style_tree.main_text(html, {text}) == "Head"
+
+
+def test_style_tree_judges_rare_templates_of_a_large_host(spark):
+    section = lambda i: f"<body><div class=strip><span>Same words in this section</span></div><div class=text><p>Section text {i}</p></div></body>"
+    other = lambda i: f"<body><div class=box><p>Text {i}</p></div></body>"
+    rows = [(i, f"http://large.example/{i}", section(i) if i < 9 else other(i)) for i in range(1200)] + [(2000 + i, f"http://own.example/{i}", section(i)) for i in range(9)]
+    r = {x["page_id"]: x["text"] for x in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert r[500] == "Text 500"
+    assert all(r[i] == r[2000 + i] == f"Section text {i}" for i in range(9))
+
+
+def test_style_tree_goes_up_level_by_level(spark):
+    rng = random.Random(3)
+    page = lambda i: "<body>" + "".join(f"<div class={rng.choice('abc')}><ul><li>{rng.choice(['same', str(rng.random())])}</li></ul><p>{rng.randrange(4)}</p></div>" for _ in range(rng.randrange(1, 5))) + f"<p>{i}</p></body>"
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i)) for i in range(80)]
+    got = {(x["host"], x["path"]): (x["pages"], x["importance"]) for x in style_tree.style_trees(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for host in ("a.example", "b.example"):
+        count, parent = {}, {}
+        for _, url, html in rows:
+            for path, above, kind, feature in style_tree.page_features(html) if style_tree.host_of(url) == host else ():
+                of = count.setdefault(path, ({}, {}))[kind % 2]
+                of[feature], parent[path] = of.get(feature, 0) + 1, above
+        m = {p: sum(looks.values()) for p, (looks, _) in count.items() if sum(looks.values()) >= 8}
+
+        def up(p):
+            looks, contents = count[p]
+            below = [up(c) + (m[c],) for c in m if parent[c] == p]
+            parts = [(own, n) for own, _, n in below]
+            if contents:
+                parts.append((1 - min(1, sum(np.log(k) for k in contents.values()) / len(contents) / np.log(m[p])), m[p]))
+            look = sum(k / m[p] * np.log(m[p] / k) for k in looks.values()) / np.log(m[p])
+            w = 0.9 ** len(looks)
+            own = (1 - w) * look + w * (sum(a * b for a, b in parts) / sum(b for _, b in parts) if parts else 1)
+            most = max([own, *(x[1] for x in below)])
+            want[host, style_tree._signed(p)] = (m[p], pytest.approx(most))
+            return own, most
+
+        up(next(p for p in m if parent[p] == 0))
+    assert got == want
