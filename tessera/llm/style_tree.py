@@ -32,10 +32,12 @@ FEW_COPIES = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is code or is never shown.
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea title annotation annotation-xml".split())
 #: Elements that hold no main text, by their meaning in HTML.
-OUTSIDE = frozenset("head nav footer aside form button select option dialog menu label fieldset figcaption".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+OUTSIDE = frozenset("head nav footer aside form button select option dialog menu label fieldset".split()) | RAW
+#: Formulas run on in their paragraph; an annotation repeats one as code.
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: Start tags that end an open element of these names, up to the container.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -48,6 +50,9 @@ PRIOR = frozenset(
     "copyright legal contentinfo complementary search skip hidden header".split()
 )
 
+#: Those that name such parts within article or main, too, where the others name parts of the text.
+PRIOR_WITHIN = frozenset("ad ads advert adverts advertisement advertising adsense adbox adslot share sharing comment comments commentlist disqus newsletter subscribe signup login".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _NAMED = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
@@ -55,13 +60,19 @@ _END = {t: re.compile(rf"(?i)</{t}\s*>") for t in RAW}
 
 
 class Node:
-    __slots__ = ("children", "depth", "key", "off", "parent", "path", "tag")
+    """``why`` says what by itself puts an element outside the main text: its meaning ("tag"), its class ("word") or that it isn't shown ("hidden")."""
+
+    __slots__ = ("children", "depth", "key", "parent", "path", "tag", "why")
 
-    def __init__(self, tag: str, key: str, parent: Node | None, off: bool):
-        self.tag, self.key, self.parent, self.off, self.children = tag, key, parent, off, []
+    def __init__(self, tag: str, key: str, parent: Node | None, why: str):
+        self.tag, self.key, self.parent, self.why, self.children = tag, key, parent, why, []
         self.path = xxhash.xxh64_intdigest(key, parent.path if parent else 0)
         self.depth = parent.depth + 1 if parent else 0
 
+    @property
+    def off(self) -> bool:
+        return any(x.why for x in _ancestors(self))
+
 
 def _attributes(raw: str) -> tuple[str, set[str], bool]:
     names, words, hidden = [], set(), False
@@ -81,18 +92,17 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The root, and the blocks of text in order, each with the element that it lies in.
 
     Missing end tags, a page that is cut off, and stray end tags are taken as browsers do, as far as blocks go. White
-    space in a block, line breaks included, becomes one blank; empty blocks are dropped.
+    space in a block, line breaks included, becomes one blank; empty blocks are dropped, as are the parts of a block
+    in inline elements that are off. The first h1 of an article or main puts all that holds it in the text.
     """
-    root = Node("#root", "#root", None, False)
-    stack, blocks = [root], []
-    text: list[str] = []
-    home = root
+    root = Node("#root", "#root", None, "")
+    stack, pieces = [root], []
+    text: list[tuple[Node, str]] = []
+    home, headed = root, False
 
     def flush() -> None:
         if text:
-            words = unescape("".join(text)).split()
-            if words:
-                blocks.append((home, " ".join(words)))
+            pieces.append((home, text.copy()))
             text.clear()
 
     def pop(n: int) -> None:
@@ -110,12 +120,12 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             if piece:
                 if not text:
                     home = _block(stack)
-                text.append(piece)
+                text.append((stack[-1], piece))
             break
         if m.start() > at:
             if not text:
                 home = _block(stack)
-            text.append(html[at : m.start()])
+            text.append((stack[-1], html[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
@@ -132,7 +142,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                     flush()
             continue
         if tag == "br":
-            text.append(" ") if text else None
+            text.append((stack[-1], " ")) if text else None
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -155,15 +165,23 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         named, words, hidden = _attributes(m[3]) if m[3] else ("", (), False)
         top = stack[-1]
-        off = top.off or hidden or tag in OUTSIDE
-        if not off and tag not in ("html", "body", "main", "article", "h1"):
-            off = bool(PRIOR.intersection(words)) or (tag == "header" and not any(x.tag in ("article", "main") for x in stack))
-        elif not off and tag == "article":
-            off = bool({"comment", "comments", "reply", "related", "ad", "advert", "promo", "teaser"}.intersection(words))
-        node = Node(tag, f"{tag} {named}" if named else tag, top, off)
+        within = any(x.tag in ("article", "main") for x in stack)
+        why = "hidden" if hidden else "tag" if tag in OUTSIDE or (tag == "header" and not within) else ""
+        if not why and tag == "article":
+            why = "word" if {"comment", "comments", "reply", "related", "ad", "advert", "promo", "teaser"}.intersection(words) else ""
+        elif not why and tag not in ("html", "body", "main", "h1"):
+            why = "word" if (PRIOR_WITHIN if within else PRIOR).intersection(words) else ""
+        if tag == "h1" and within and not headed:
+            headed = True
+            for x in reversed(stack):
+                if x.tag in ("article", "main"):
+                    break
+                if x.why != "hidden":
+                    x.why = ""
+        node = Node(tag, f"{tag} {named}" if named else tag, top, why)
         if tag not in INLINE:
             top.children.append(node)
-        if m[3].endswith("/") and tag in ("svg", "math"):
+        if m[3].endswith("/") and (tag == "svg" or tag in MATH):
             continue
         if tag in RAW:
             end = _END[tag].search(html, at)
@@ -171,12 +189,18 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         stack.append(node)
     flush()
+    blocks = []
+    for home, parts in pieces:
+        shown = {n: not any(x.why for x in _until(n, home)) for n in {n for n, _ in parts}}
+        words = unescape("".join([t for n, t in parts if shown[n]])).split()
+        if words:
+            blocks.append((home, " ".join(words)))
     return root, blocks
 
 
 def _block(stack: list[Node]) -> Node:
     for x in reversed(stack):
-        if x.tag not in INLINE or x.off:
+        if x.tag not in INLINE:
             return x
     return stack[0]
 
@@ -187,6 +211,12 @@ def _ancestors(node: Node) -> Iterator[Node]:
         node = node.parent
 
 
+def _until(node: Node, end: Node) -> Iterator[Node]:
+    while node is not end:
+        yield node
+        node = node.parent
+
+
 def main_text(html: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's main text: blocks of important branches, within article (or else main) where there is one with text.
 

@@ -337,3 +337,19 @@ def test_style_tree_goes_up_level_by_level(spark):
 
         up(next(p for p in m if parent[p] == 0))
     assert got == want
+
+
+def test_main_text_keeps_what_is_in_the_article():
+    m = style_tree.main_text
+    for name in ("article-header", "entry-header", "notice", "promo-text"):
+        assert m(f"<article><div class='{name}'><h1>Head</h1><p>Lead</p></div><p>Text</p></article>") == "Head\nLead\nText"
+    for name in ("legal", "social-history", "related-work", "search"):
+        assert m(f"<main><h1>Head</h1><section class='{name}'><p>Text</p></section></main>") == "Head\nText"
+    assert m("<article><div class='share'><p>By</p><h1>Head</h1></div><div class='share'>Send it</div><p>Text</p><div id=comments><h1>Comments</h1><p>x</p></div><div class=ads>x</div></article>") == "By\nHead\nText"
+    assert m("<article><div class='comments' hidden><h1>Head</h1></div><p>Text</p></article>") == "Text"
+    assert m("<div class='related-work'><p>x</p></div><p>Text</p>") == "Text"
+    assert m("<article><figure><img src=a><figcaption>A caption</figcaption></figure><p>Let <math><mi>x</mi><mo>=</mo><mspace width='1em'/><mn>2</mn><annotation>x = 2</annotation></math> be.</p></article>") == "A caption\nLet x=2 be."
+    assert m("<p><span style='display:none'>x</span>Visible <b hidden>y</b>text</p>") == "Visible text"
+    assert m("<p><span class='notice'>Note:</span> text</p>") == "text"
+    assert m("<article><p><span class='notice'>Note:</span> text</p></article>") == "Note: text"
+    assert m("<nav><p>x</p><b>y</b></nav><p>Text</p>") == "Text"
