@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,36 +46,59 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def order_key(df: DataFrame, name: str) -> Column:
-    """A long that orders like the column: numbers as they are, the rest by the first seven bytes of their text; null is lowest."""
+    """A value that orders like the column, with null lowest: a long for numbers and times, text for the rest."""
     column, kind = F.col(name), df.schema[name].dataType
     if isinstance(kind, T.NumericType):
         key = F.floor(column).cast("long")
     elif isinstance(kind, (T.TimestampType, T.DateType)):
         key = F.unix_micros(column.cast("timestamp"))
     else:
-        padded = F.rpad(F.hex(F.encode(F.substring(column.cast("string"), 1, 7), "UTF-8")), 14, "0")
-        key = F.conv(padded, 16, 10).cast("long")
+        return F.coalesce(F.concat(F.lit("+"), column.cast("string")), F.lit(""))
     return F.coalesce(key, F.lit(-(1 << 62)))
 
 
+def text_bounds(df: DataFrame, key: str, bits: int) -> list[str]:
+    """The different quantiles k / 2**bits of a text column without nulls, in order.
+
+    Rows are counted by value first; values are then sorted in ranges, and a value's rank is its rank in its range plus
+    the counts of the ranges before. So no task sees all values, and the driver gets 2**bits - 1 of them at most.
+    """
+    values = df.groupBy(F.col(key).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = durable(values.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()))
+    counts = sorted((r["part"], r["k"]) for r in ranges.groupBy("part").agg(F.sum("k").alias("k")).collect())
+    if not counts:
+        return []
+    total = sum(k for _, k in counts)
+    ends = np.cumsum([k for _, k in counts]).tolist()
+    first = df.sparkSession.createDataFrame([(p, e - k) for (p, k), e in zip(counts, ends, strict=True)], "part int, first long")
+    rank = F.sum("k").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("first")
+    ranked = ranges.join(F.broadcast(first), "part").withColumn("rank", rank)
+    step = lambda x: f"(({x}) * {1 << bits}L) div {total}L"
+    cut = ranked.where(f"least({step('rank')}, {(1 << bits) - 1}L) > {step('rank - k')}")
+    return sorted(r["v"] for r in cut.select("v").collect())
+
+
 def hilbert_order(df: DataFrame, dimensions: list[str], ties: list[str], bits: int = BITS) -> DataFrame:
     """df with hilbert, part and place: rows sorted by curve index and then by ``ties``, in ranges by ``part``, ``place`` counting from 0 in each.
 
-    Each dimension is cut at its approximate quantiles (an aggregate with partial results, 2**bits - 1 numbers a
-    dimension), so a value that a third of all rows share takes a cell of its own and the rest spread over the others.
+    Each dimension is cut at its quantiles: approximate ones of numbers and times (an aggregate with partial results,
+    2**bits - 1 numbers a dimension), exact ones of whole texts (text_bounds), so a value that a third of all rows share takes a cell of its own and the rest spread over the others.
     The range shuffle moves df's columns as they are: select narrow ones first. ``ties`` should tell rows apart, so that a hot cell
     spreads over several ranges. The result is kept durably, so that later passes see one and the same cut.
     """
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     keys = {d: f"__key_{i}" for i, d in enumerate(dimensions)}
     keyed = df.withColumns({k: order_key(df, d) for d, k in keys.items()})
-    row = keyed.agg(*(F.percentile_approx(k, cuts, 2000).alias(k) for k in keys.values())).first()
-    bounds = [np.unique(np.asarray(row[k] or [], np.int64)) for k in keys.values()]
+    texts = {k for k in keys.values() if isinstance(keyed.schema[k].dataType, T.StringType)}
+    numbers = [F.percentile_approx(k, cuts, 2000).alias(k) for k in keys.values() if k not in texts]
+    row = keyed.agg(*numbers).first() if numbers else {}
+    bounds = [text_bounds(keyed, k, bits) if k in texts else np.unique(np.asarray(row[k] or [], np.int64)) for k in keys.values()]
 
     @F.pandas_udf("long")
     def curve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            cells = [np.searchsorted(b, c.to_numpy(np.int64), "right") for b, c in zip(bounds, columns, strict=True)]
+            cells = [c.map(lambda x, b=b: bisect_right(b, x)).to_numpy(np.int64) if isinstance(b, list) else np.searchsorted(b, c.to_numpy(np.int64), "right") for b, c in zip(bounds, columns, strict=True)]
             yield pd.Series(hilbert_index(np.stack(cells, 1), bits))
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

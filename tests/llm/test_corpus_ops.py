@@ -353,3 +353,23 @@ def test_main_text_keeps_what_is_in_the_article():
     assert m("<p><span class='notice'>Note:</span> text</p>") == "text"
     assert m("<article><p><span class='notice'>Note:</span> text</p></article>") == "Note: text"
     assert m("<nav><p>x</p><b>y</b></nav><p>Text</p>") == "Text"
+
+
+def test_shards_tell_long_names_apart(spark):
+    rows = [(i, f"https://{'abcd'[i % 4]}.example/", "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string").repartition(5)
+    cells: dict[str, set[int]] = {}
+    for r in hilbert_shards.hilbert_shards(df, ["source", "lang"], ["doc_id"], 4).collect():
+        cells.setdefault(r["source"], set()).add((r["hilbert"], r["shard"]))
+    assert len(cells) == 4
+    assert all(len(c) == 1 for c in cells.values())
+    assert len(set.union(*cells.values())) == 4
+
+
+def test_text_bounds(spark):
+    rng = random.Random(8)
+    values = ["hot"] * 150 + [f"common-prefix-{rng.randrange(200)}" for _ in range(250)] + [chr(rng.randrange(32, 0x3000)) for _ in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(4)
+    order = sorted(values)
+    assert hilbert_shards.text_bounds(df, "v", 4) == sorted({order[-(-k * len(order) // 16) - 1] for k in range(1, 16)})
+    assert hilbert_shards.text_bounds(df.where("false"), "v", 4) == []
