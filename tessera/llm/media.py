@@ -19,6 +19,8 @@ from tessera.llm.common import chunks, texts_of
 #: Rows of an image whose integral image is held at once.
 STRIP_ROWS = 4096
 TILE = 16
+#: A few bytes can claim any size in a run-length BMP; larger ones are refused.
+MOST_RUN_PIXELS = 1 << 28
 
 
 # --- formats -----------------------------------------------------------------------------------------------------------
@@ -67,29 +69,94 @@ def _netpbm(data: bytes) -> np.ndarray:
     return raw.reshape(height, width, bands)
 
 
+def _bmp_runs(data: bytes, at: int, rows: int, width: int, depth: int) -> np.ndarray:
+    """Colour indexes of a run-length body, its last row first; pixels that no run reaches have index 0."""
+    if rows * width > MOST_RUN_PIXELS:
+        raise ValueError("run-length BMP is too large")
+    out = np.zeros((rows, width), np.uint8)
+    x = y = 0
+    while y < rows:
+        if at + 2 > len(data):
+            raise ValueError("BMP body ends early")
+        n, value = data[at], data[at + 1]
+        at += 2
+        if n:
+            raw = bytes([value]) * (n if depth == 8 else -(-n // 2))
+        elif value == 0:
+            x, y = 0, y + 1
+            continue
+        elif value == 1:
+            break
+        elif value == 2:
+            if at + 2 > len(data):
+                raise ValueError("BMP body ends early")
+            x, y, at = x + data[at], y + data[at + 1], at + 2
+            continue
+        else:
+            n = value
+            size = n if depth == 8 else -(-n // 2)
+            raw = data[at : at + size]
+            if len(raw) < size:
+                raise ValueError("BMP body ends early")
+            at += size + size % 2
+        pixels = np.frombuffer(raw, np.uint8)
+        if depth == 4:
+            pixels = np.stack((pixels >> 4, pixels & 15), 1).reshape(-1)
+        n = min(n, max(0, width - x))
+        out[y, x : x + n] = pixels[:n]
+        x += n
+    return out
+
+
 def _bmp(data: bytes) -> np.ndarray:
-    if len(data) < 54:
+    if len(data) < 26:
+        raise ValueError("BMP header ends early")
+    start, head = struct.unpack_from("<II", data, 10)
+    core, packing = head == 12, 0
+    if core:
+        width, height, _, depth = struct.unpack_from("<HHHH", data, 18)
+    elif head >= 40 and len(data) >= 54:
+        width, height, _, depth, packing = struct.unpack_from("<iiHHI", data, 18)
+    else:
         raise ValueError("BMP header ends early")
-    start, head, width, height, _, depth, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0,) or depth not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+    known = {0: (1, 4, 8, 16, 24, 32), 1: (8,), 2: (4,), 3: (16, 32), 6: (16, 32)}
+    if depth not in known.get(packing, ()) or width <= 0 or height == 0 or (packing in (1, 2) and height < 0):
         raise ValueError(f"BMP of depth {depth} and packing {packing} isn't supported")
     line, rows = (width * depth + 31) // 32 * 4, abs(height)
-    if len(data) - start < line * rows:
-        raise ValueError("BMP body ends early")
-    body = np.frombuffer(data, np.uint8, line * rows, start).reshape(rows, line)
-    if height > 0:
-        body = body[::-1]
-    if depth >= 24:
-        return body[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
-    colours = struct.unpack_from("<I", data, 46)[0] or 1 << depth
-    palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)[:, 2::-1]
-    bits = np.unpackbits(body, axis=1).reshape(rows, -1, depth)
-    index = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2)[:, :width]
-    return palette[index]
+    if packing in (1, 2):
+        index = _bmp_runs(data, start, rows, width, depth)
+    else:
+        if len(data) - start < line * rows:
+            raise ValueError("BMP body ends early")
+        body = np.frombuffer(data, np.uint8, line * rows, start).reshape(rows, line)
+    if packing in (3, 6) or depth == 16:
+        if packing and len(data) < 66:
+            raise ValueError("BMP header ends early")
+        masks = struct.unpack_from("<III", data, 54) if packing else (0x7C00, 0x3E0, 0x1F)
+        pixels = np.ascontiguousarray(body[:, : width * depth // 8]).view("<u2" if depth == 16 else "<u4").astype(np.uint64)
+        out = np.zeros((rows, width, 3), np.uint8)
+        for band, mask in enumerate(masks):
+            if mask:
+                low = (mask & -mask).bit_length() - 1
+                top = mask >> low
+                out[:, :, band] = (((pixels & np.uint64(mask)) >> np.uint64(low)) * np.uint64(255) + np.uint64(top // 2)) // np.uint64(top)
+    elif depth >= 24:
+        out = body[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
+    else:
+        colours = 1 << depth if core else struct.unpack_from("<I", data, 46)[0] or 1 << depth
+        each = 3 if core else 4
+        palette = np.frombuffer(data, np.uint8, each * colours, 14 + head).reshape(-1, each)[:, 2::-1]
+        if not packing:
+            bits = np.unpackbits(body, axis=1).reshape(rows, -1, depth)
+            index = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2)[:, :width]
+        if index.max() >= len(palette):
+            raise ValueError("BMP index beyond its palette")
+        out = palette[index]
+    return out[::-1] if height > 0 else out
 
 
 def decode_image(data: bytes) -> np.ndarray:
-    """A height x width x bands array of 8-bit samples, of Netpbm P1-P6 or of an unpacked BMP; ValueError for the rest."""
+    """A height x width x bands array of 8-bit samples, of Netpbm P1-P6 or of a BMP; ValueError for the rest."""
     if len(data) > 2 and data[:1] == b"P" and data[1:2] in b"123456":
         return _netpbm(data)
     if data[:2] == b"BM":

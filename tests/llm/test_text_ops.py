@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -36,6 +37,29 @@ def test_formats():
             media.decode_image(bad)
 
 
+def bmp(width, height, depth, packing, extra, body):
+    start = 54 + len(extra)
+    return b"BM" + struct.pack("<IHHI", start + len(body), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, depth, packing, len(body), 0, 0, 0, 0) + extra + body
+
+
+def test_bmp_forms():
+    pixels = lambda data: media.decode_image(data).tolist()
+    red, green, blue, black = [255, 0, 0], [0, 255, 0], [0, 0, 255], [0, 0, 0]
+    assert pixels(bmp(2, 2, 16, 0, b"", struct.pack("<4H", 0x7C00, 0x3E0, 0x1F, 0x7FFF))) == [[blue, [255] * 3], [red, green]]
+    assert pixels(bmp(1, -2, 16, 3, struct.pack("<3I", 0xF800, 0x7E0, 0x1F), struct.pack("<4H", 0xF800, 0, 0x7E0, 0))) == [[red], [green]]
+    for packing, masks in ((3, (0xFF, 0xFF00, 0xFF0000)), (6, (0xFF, 0xFF00, 0xFF0000, 0xFF000000))):
+        assert pixels(bmp(2, 1, 32, packing, struct.pack(f"<{len(masks)}I", *masks), bytes([1, 2, 3, 9, 4, 5, 6, 0]))) == [[[1, 2, 3], [4, 5, 6]]]
+    colours = lambda n: (bytes([0, 0, 0, 0, 0, 0, 255, 0, 0, 255, 0, 0, 255, 0, 0, 0]) + bytes(4 * n))[: 4 * n]
+    runs = bytes([2, 1, 1, 2, 0, 0, 0, 3, 1, 2, 3, 0, 0, 0, 0, 2, 1, 0, 1, 3, 0, 1])
+    assert pixels(bmp(3, 3, 8, 1, colours(256), runs)) == [[black, blue, black], [red, green, blue], [red, red, green]]
+    assert pixels(bmp(5, 2, 4, 2, colours(16), bytes([5, 0x12, 0, 0, 0, 5, 0x12, 0x31, 0x20, 0, 0, 1]))) == [[red, green, blue, red, green], [red, green, red, green, red]]
+    core = b"BM" + struct.pack("<IHHI", 0, 0, 0, 32) + struct.pack("<IHHHH", 12, 3, 1, 1, 1) + bytes([0, 0, 255, 255, 0, 0]) + bytes([0b01000000, 0, 0, 0])
+    assert pixels(core) == [[red, blue, red]]
+    for bad in (bmp(3, -3, 8, 1, colours(256), runs), bmp(3, 3, 8, 1, colours(256), runs[:3]), bmp(1 << 20, 1 << 20, 8, 1, colours(256), runs), bmp(2, 1, 32, 3, b"", b""), bmp(2, 1, 24, 3, b"", bytes(99)), core[:-3]):
+        with pytest.raises(ValueError, match=".+"):
+            media.decode_image(bad)
+
+
 def test_area_resize():
     a = np.random.RandomState(2).randint(0, 256, (12, 20, 3)).astype(np.uint8)
     exact = a.reshape(4, 3, 5, 4, 3).mean((1, 3))
