@@ -170,8 +170,9 @@ def test_shards(spark):
 
 
 def brute_repeats(rows, n=100):
-    seen, out = set(), {}
-    for d, t in sorted(rows, key=lambda r: r[0]):
+    """Results in the order of the rows."""
+    seen, out = set(), []
+    for d, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - n + 1):
@@ -179,19 +180,58 @@ def brute_repeats(rows, n=100):
             gone[i : i + n] |= w in seen
             seen.add(w)
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        out[d] = (len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        out.append((d, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(32768, 4 << 20), (3, 5000)])
-def test_repeats(spark, hot, shard, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+def removed(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("doc", "n_bytes", "copies", "key")}).repartition(5)
+    return sorted((tuple(r) for r in suffix_dedup.remove_repeats(df).collect()), key=str)
+
+
+def repeats_rows():
     rng = random.Random(3)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.choice([120, 300, 900]))) for _ in range(6)]
-    rows = [(i, "".join(rng.choice([rng.choice(base)[rng.randrange(100) :][: rng.randrange(90, 400)], "".join(rng.choice("xyé") for _ in range(rng.randrange(60))), "z" * rng.randrange(250)]) for _ in range(rng.randrange(6)))) for i in range(100)] + [(900, None), (901, "short")]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert got == brute_repeats(rows)
+    return [(i, "".join(rng.choice([rng.choice(base)[rng.randrange(100) :][: rng.randrange(90, 400)], "".join(rng.choice("xyé") for _ in range(rng.randrange(60))), "z" * rng.randrange(250)]) for _ in range(rng.randrange(6)))) for i in range(100)] + [(900, None), (901, "short")]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 16), (5000, 400)])
+def test_repeats(spark, sizes, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", sizes[0])
+    monkeypatch.setattr(suffix_dedup, "DEALT_BYTES", sizes[1])
+    rows = repeats_rows()
+    assert removed(spark, rows) == sorted(brute_repeats(rows), key=str)
+
+
+def test_repeats_are_merged_over_shards(spark):
+    """With the constants as they are: a passage in 9,000 documents, in pairs of equal surroundings, is more than a shard."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
+    edge = ["".join(rng.choice("ijklmnop ") for _ in range(70)) for _ in range(4500)]
+    rows = [(i, edge[i % 4500] + passage + edge[(i * 7 + i // 4500) % 4500]) for i in range(9000)]
+    assert 9000 * 170 > suffix_dedup.SHARD_BYTES
+    assert removed(spark, rows) == sorted(brute_repeats(rows), key=str)
+
+
+def test_repeats_of_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (150, 400, 400))
+    assert [x[2] for x in removed(spark, [(1, a + a), (2, b), (7, a + a + "x"), (9, c)])] == [150, 0, 300, 0]
+    # one document of a doc_id is judged before the other, and a null comes first
+    for first, second in ((None, None), (5, 5)):
+        rows = [(first, a + a), (second, b), (7, a + a + "x"), (9, c), (9, None), (9, None), (9, "short"), (9, "short")]
+        assert removed(spark, rows) == sorted(brute_repeats(rows), key=str)
+    rows = [(5, b), (5, b), (5, b), (4, b[:200]), (None, b[150:])]
+    want = brute_repeats([(None, b[150:]), (4, b[:200]), (5, b), (5, b), (5, b)])
+    assert removed(spark, rows) == sorted(want, key=str)
+
+
+def test_repeats_in_very_long_texts(spark, monkeypatch):
+    rng = np.random.RandomState(6)
+    text = rng.randint(97, 123, (5 << 20)).astype(np.uint8).tobytes().decode()
+    cut = (2 << 20) - 50  # over the border of two chunks
+    rows = [(1, text), (2, "#" * 30 + text[cut : cut + 300] + "#" * 30), (3, text[100:400] + text[4 << 20 : (4 << 20) + 150])]
+    assert [x[1:4] for x in removed(spark, rows)] == [(5 << 20, 0, 0), (360, 300, 1), (450, 450, 1)]
 
 
 def test_suffix_array_and_prefixes():
