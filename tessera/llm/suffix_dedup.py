@@ -311,7 +311,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
     if whole and repeats.isEmpty():
         return docs.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", "text", F.lit(1).cast("long").alias("copies"))
-    told = docs.select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64("text", F.lit(1)).alias("y"), "text")
+    told = docs.select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), F.col("text")).alias("y"), "text")
     order = ["doc_id", "x", "y"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = durable(told.groupBy(order).agg(F.count(F.lit(1)).alias("copies")).repartitionByRange(n, *order).sortWithinPartitions(*order))

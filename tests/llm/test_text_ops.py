@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import re
 import struct
 import zlib
@@ -215,10 +216,56 @@ def test_leaks(spark):
     docs = spark.createDataFrame([(k, v, "mine") for k, v in rows.items()], "doc_id long, text string, leaks string")
     got = {r["doc_id"]: sorted({x["item_id"] for x in r["leaks"]}) for r in string_tiling.find_leaks(docs, bench).collect()}
     assert got == {0: [1], 1: [1], 2: [], 3: [], 4: [], 5: [4], 6: []}
-    string_tiling_pass, string_tiling.PASS_BYTES = string_tiling.PASS_BYTES, 64
-    more = {r["doc_id"]: sorted({x["item_id"] for x in r["leaks"]}) for r in string_tiling.find_leaks(docs, bench).collect()}
-    string_tiling.PASS_BYTES = string_tiling_pass
-    assert more == got
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 0])
+def test_tiles_word_by_word(pairs, monkeypatch):
+    monkeypatch.setattr(string_tiling, "PAIRS", pairs)
+    rng = np.random.RandomState(5)
+    for _ in range(60):
+        item, text = rng.randint(0, 3, rng.randint(1, 16)), rng.randint(0, 3, rng.randint(1, 30))
+        assert string_tiling.greedy_tiles(item.astype(np.uint64), text.astype(np.uint64), 3) == brute_tiles(item.tolist(), text.tolist(), 3)
+
+
+def brute_leaks(text, items):
+    words = re.findall(r"[a-z0-9]+", (text or "").lower())
+    out = []
+    for i, t in items:
+        item = re.findall(r"[a-z0-9]+", (t or "").lower())
+        tiles = [n for _, _, n in brute_tiles(item, words, min(5, len(item)))] if item else []
+        if tiles and sum(tiles) >= 0.8 * len(item):
+            out.append((i, sum(tiles), len(item), len(tiles), max(tiles)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("words", "few"), [(1 << 20, 100_000), (1, -1)])
+def test_leaks_as_by_brute_force(spark, words, few, monkeypatch):
+    monkeypatch.setattr(string_tiling, "FILTER_WORDS", words)
+    monkeypatch.setattr(string_tiling, "FEW_LEAKS", few)
+    rng = random.Random(7)
+    word = lambda: rng.choice(["the", "of", "a"]) if rng.random() < 0.5 else f"w{rng.randrange(30)}"
+    stem = [word() for _ in range(6)]  # a seed that all items have
+    items = [(i % 9, " ".join(stem + [word() for _ in range(rng.randrange(14))])) for i in range(12)] + [(20, "a"), (21, "w1 of the"), (22, None), (None, "w2 of of w3 a"), (23, "  ,")]
+    rows = []
+    for i in range(70):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            t = rng.choice(items)[1] or ""
+            cut = rng.randrange(len(t) + 1)
+            parts += [t[cut:], word().upper(), t[:cut]]
+        rows.append((rng.choice([i, None, 3]), ", ".join([*parts, *(word() for _ in range(rng.randrange(12)))])))
+    rows += [(1, None), (2, ""), *rows[:5]]
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, item_id string, iid string").repartition(4)
+    got = sorted(((r["doc_id"], r["text"], sorted((tuple(x) for x in r["leaks"]), key=str)) for r in string_tiling.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()), key=str)
+    assert got == sorted([(d, t, brute_leaks(t, items)) for d, t in rows], key=str)
+    assert sum(len(x[2]) for x in got) > 20
+
+
+def test_leaks_of_empty_tables(spark):
+    bench, docs = spark.createDataFrame([(1, "one two three")], "item_id string, text string"), spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    assert string_tiling.find_leaks(docs.where("false"), bench).collect() == []
+    assert [r["leaks"] for r in string_tiling.find_leaks(docs, bench.where("false")).collect()] == [[]]
+    assert [x["item_id"] for x in string_tiling.find_leaks(docs, bench).first()["leaks"]] == ["1"]
 
 
 def test_shingles():
