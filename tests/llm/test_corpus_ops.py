@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import importlib.util
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,7 +79,7 @@ def test_style_tree_cuts_what_all_pages_share(spark):
     rows = [(i, f"http://Site.example/{i}", page(i)) for i in range(20)] + [(100, "http://small.example/", page(3)), (101, None, None), (102, "http://site.example/x", "")]
     r = {x["page_id"]: x["text"] for x in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert r[5] == "Text number 5\nMore 35"
-    assert r[100] == "Same words on all pages\nText number 3\nMore 21"  # too few pages to judge
+    assert r[100] == "Text number 3\nMore 21"  # too few pages of the host, but all hosts' tree knows
     assert (r[101], r[102]) == ("", "")
 
 
@@ -327,16 +328,21 @@ def test_style_tree_counts_copies_once(spark, few, monkeypatch):
     assert {r[100 + i] for i in range(200)} == {f"Head {k}\nText of article {k}" for k in range(2)}
     assert {r[400 + i] for i in range(60)} == {f"Text of page {k}" for k in range(3)}
     trees = style_tree.style_trees(spark.createDataFrame([*rows, *[(500 + i, f"http://many.example/{i // 3}", page(i // 3)) for i in range(30)]], "page_id long, url string, html string").repartition(5))
-    assert {(x["host"], x["pages"]) for x in trees.collect()} == {("many.example", 10)}
+    assert {(x["host"], x["pages"]) for x in trees.where("importance IS NOT NULL").collect() if x["host"] != style_tree.ALL} == {("many.example", 10)}
 
 
 def test_cuts_leave_the_article():
     html = "<body><div><article><h1>Head</h1><p>Text</p></article></div></body>"
     paths = {n.path for b, _ in style_tree.parse(html)[1] for n in style_tree._ancestors(b)}
     heading, text = (b.path for b, _ in style_tree.parse(html)[1])
-    assert style_tree.main_text(html, paths) == "Head\nText"
-    assert style_tree.main_text(html, paths - {heading}) == "Head"
-    assert style_tree.main_text(html, {text}) == "Head"
+    assert style_tree.main_text(html, paths, paths) == style_tree.main_text(html, paths) == "Head\nText"
+    assert style_tree.main_text(html, (), paths - {heading}) == "Head"
+    assert style_tree.main_text(html, (), {text}) == "Head"
+    bare = html.replace("article", "section")
+    paths = {n.path for b, _ in style_tree.parse(bare)[1] for n in style_tree._ancestors(b)}
+    text = style_tree.parse(bare)[1][1][0].path
+    assert style_tree.main_text(bare, {text}) == "Head"
+    assert style_tree.main_text(bare, paths) == "Head\nText"
 
 
 def test_style_tree_judges_rare_templates_of_a_large_host(spark):
@@ -352,23 +358,23 @@ def test_style_tree_goes_up_level_by_level(spark):
     rng = random.Random(3)
     page = lambda i: "<body>" + "".join(f"<div class={rng.choice('abc')}><ul><li>{rng.choice(['same', str(rng.random())])}</li></ul><p>{rng.randrange(4)}</p></div>" for _ in range(rng.randrange(1, 5))) + f"<p>{i}</p></body>"
     rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i)) for i in range(80)]
-    got = {(x["host"], x["path"]): (x["pages"], x["importance"]) for x in style_tree.style_trees(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {(x["host"], x["path"]): (x["pages"], x["importance"]) for x in style_tree.style_trees(spark.createDataFrame(rows, "page_id long, url string, html string")).where("importance IS NOT NULL").collect()}
     want = {}
-    for host in ("a.example", "b.example"):
+    for host in ("a.example", "b.example", style_tree.ALL):
         count, parent = {}, {}
         for _, url, html in rows:
-            for path, above, kind, feature in style_tree.page_features(html) if style_tree.host_of(url) == host else ():
-                of = count.setdefault(path, ({}, {}))[kind % 2]
-                of[feature], parent[path] = of.get(feature, 0) + 1, above
-        m = {p: sum(looks.values()) for p, (looks, _) in count.items() if sum(looks.values()) >= 8}
+            for (path, above, kind, feature), words in style_tree.page_features(html).items() if host in (style_tree.ALL, style_tree.host_of(url)) else ():
+                have = count.setdefault(path, ({}, {}))[kind % 2].setdefault(feature, [0, 0.0])
+                have[0], have[1], parent[path] = have[0] + 1, have[1] + words, above
+        m = {p: n for p, n in ((p, sum(k for k, _ in looks.values())) for p, (looks, _) in count.items()) if n >= 8}
 
         def up(p):
             looks, contents = count[p]
             below = [up(c) + (m[c],) for c in m if parent[c] == p]
             parts = [(own, n) for own, _, n in below]
             if contents:
-                parts.append((1 - min(1, sum(np.log(k) for k in contents.values()) / len(contents) / np.log(m[p])), m[p]))
-            look = sum(k / m[p] * np.log(m[p] / k) for k in looks.values()) / np.log(m[p])
+                parts.append((1 - min(1, sum(w * np.log(k) for k, w in contents.values()) / sum(w for _, w in contents.values()) / np.log(m[p])), m[p]))
+            look = sum(k / m[p] * np.log(m[p] / k) for k, _ in looks.values()) / np.log(m[p])
             w = 0.9 ** len(looks)
             own = (1 - w) * look + w * (sum(a * b for a, b in parts) / sum(b for _, b in parts) if parts else 1)
             most = max([own, *(x[1] for x in below)])
@@ -379,6 +385,41 @@ def test_style_tree_goes_up_level_by_level(spark):
     assert got == want
 
 
+def words_of(text):
+    return Counter(text.split())
+
+
+def test_style_trees_find_the_articles_without_the_prior(spark):
+    """Without class names, nav, footer or article to go by, the trees' cuts leave the articles; the prior has little to add."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    alone = {r["page_id"]: r["text"] for r in style_tree.extract_main_text(pages, prior=False).collect()}
+    both = {r["page_id"]: r["text"] for r in style_tree.extract_main_text(pages).collect()}
+    right = got = want = 0
+    for i, text in both.items():
+        a, b = words_of(alone[i]), words_of(text)
+        right, got, want = right + (a & b).total(), got + a.total(), want + b.total()
+    assert 2 * right / (got + want) > 0.99
+    share = style_tree.tree_share(pages).agg(F.sum("removed"), F.sum("by_tree")).first()
+    assert share[1] > 0.9 * share[0]
+
+
+def test_style_tree_edge_rows(spark):
+    schema = "page_id long, url string, html string, host string, low string, text string"
+    page = "<body><div class=top>Same words on all pages</div><p>Own text</p></body>"
+    rows = [(1, "http://a.example/", page, "x", "y", "z"), (1, "http://a.example/", page, "x", "y", "z"), (None, None, None, None, None, None), (2, "", "", "", "", ""), (3, "http://a.example/", "<p>" + "long text " * 300_000, "", "", "")]
+    got = sorted(((r["page_id"], r["url"], r["text"]) for r in style_tree.extract_main_text(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([*[(1, "http://a.example/", "Same words on all pages\nOwn text")] * 2, (None, None, ""), (2, "", ""), (3, "http://a.example/", ("long text " * 300_000).strip())], key=str)
+    assert style_tree.extract_main_text(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize("few", [500_000, -1])
+def test_few_or_many_cuts(spark, few, monkeypatch):
+    monkeypatch.setattr(style_tree, "FEW_CUTS", few)
+    page = lambda i: f"<body><div class=top>Same words on all pages</div><div class=box><p>Text number {i}</p></div></body>"
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i)) for i in range(40)]
+    assert {r["page_id"]: r["text"] for r in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {i: f"Text number {i}" for i in range(40)}
+
+
 def test_main_text_keeps_what_is_in_the_article():
     m = style_tree.main_text
     for name in ("article-header", "entry-header", "notice", "promo-text"):
