@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import BYTE_VALUE, chunks, mix, range_hash, range_sums, texts_of
+from tessera.llm.common import BYTE_VALUE, bounded_batches, chunks, mix, range_hash, range_sums, texts_of
 
 #: Bytes of text that are split into pre-tokens at once.
 PIECE_BYTES = 1 << 21
@@ -199,6 +199,7 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, keep_ids: bool = Fal
     vocabulary travels with the job; its size is fixed by the file. A very long text is split block by block, so memory
     holds BLOCK pre-tokens of it (its ids too if keep_ids).
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

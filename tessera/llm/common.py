@@ -7,6 +7,7 @@ over Z/2^64 with random byte values gives the hash of any byte range from two pr
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one kernel call handles at once; it bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 21
+#: Rows and bytes of an Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _RNG = np.random.RandomState(20240607)
 #: A random 64-bit value for each byte.
@@ -35,15 +38,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at BATCH_ROWS rows or BATCH_BYTES bytes, where the session's limits are larger: JVM and Python worker hold a batch each."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(key, None)
+        if have is None or not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that all executors share; its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process a
+    temporary one is made. A cluster must name a folder that all executors share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, texts_of
+from tessera.llm.common import bounded_batches, chunks, texts_of
 
 DIMENSIONS = 1024
 #: 0 is anything but a letter; 1-26 are a-z; all other letters share the rest.
@@ -106,6 +106,7 @@ def prototypes(docs: DataFrame, training: Column, text: str = "text", lang: str
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["lang", "v"])
 
+    bounded_batches(docs.sparkSession)
     parts = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, F.col(lang).cast("string").alias("lang")).mapInArrow(run, "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
     found = sums.select("lang", "v.x").limit(MOST_LANGUAGES + 1).collect()
@@ -120,30 +121,29 @@ def identify(docs: DataFrame, names: list[str], vectors: np.ndarray, text: str =
 
     ``und`` with score 0 for a null text, one without letters, or where there are no prototypes. All other columns are
     passed through; those named lang_pred and score are replaced. Ties go to the language first by name. Only texts are
-    looked at. Nothing is shuffled; prototypes travel with the job, and their number has been checked.
+    looked at, and only they go to Python. Nothing is shuffled; prototypes travel with the job, and their number has been checked.
     """
     dimensions = vectors.shape[1] if len(names) else DIMENSIONS
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) if len(names) else np.zeros((0, dimensions))
     shift = unit - unit.mean(0) if len(names) > 1 else unit
     pointed = shift / np.maximum(np.linalg.norm(shift, axis=1, keepdims=True), 1e-12)
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = texts_of(batch.column(0))
-            for a, b in chunks(offsets):
-                pred, score = np.full(b - a, UNKNOWN, object), np.zeros(b - a)
-                if len(names):
-                    v, lettered = bundles(offsets[a : b + 1], data, dimensions)
-                    length = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
-                    best = ((v @ pointed.T) / length[:, None] if len(names) > 1 else v @ unit.T).argmax(1)
-                    pred[lettered] = np.array(names, object)[best[lettered]]
-                    score = np.where(lettered, ((v * unit[best]).sum(1) / length).clip(0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(pred, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(F.col(text).alias("__text"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, f"{types}{', ' if types else ''}lang_pred string, score double")
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        offsets, data = texts_of(texts)
+        pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        for a, b in chunks(offsets) if len(names) else ():
+            v, lettered = bundles(offsets[a : b + 1], data, dimensions)
+            length = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
+            best = ((v @ pointed.T) / length[:, None] if len(names) > 1 else v @ unit.T).argmax(1)
+            pred[a:b][lettered] = np.array(names, object)[best[lettered]]
+            score[a:b] = np.where(lettered, ((v * unit[best]).sum(1) / length).clip(0, 1), 0.0)
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    bounded_batches(docs.sparkSession)
+    told = docs.select(*(F.col(f"`{c}`") for c in keep), predict(F.col(f"`{text}`")).alias("__predicted"))
+    return told.select(*(F.col(f"`{c}`") for c in keep), "__predicted.lang_pred", "__predicted.score")
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, durable, free, mix, shingle_hashes, shingle_set, texts_of, word_hashes
+from tessera.llm.common import bounded_batches, chunks, durable, free, mix, shingle_hashes, shingle_set, texts_of, word_hashes
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -190,6 +190,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
     each of its rows: they count as one document if their texts have one set. A row whose doc_id is null has a null
     component and isn't kept. Columns other than doc_id and text are not read.
     """
+    bounded_batches(docs.sparkSession)
     named = docs.where("doc_id IS NOT NULL")
     facts = durable(document_sets(docs, width, *bands_for(percent)))
     whole = facts.where("doc_id IS NOT NULL AND n_shingles > 0")

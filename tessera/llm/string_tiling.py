@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUE, chunks, durable, mix, range_hash, range_sums, shingle_hashes, texts_of
+from tessera.llm.common import BYTE_VALUE, bounded_batches, chunks, durable, mix, range_hash, range_sums, shingle_hashes, texts_of
 
 #: Shortest match, in words, that becomes a tile.
 LEAST = 5
@@ -277,6 +277,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covera
     two 64-bit hashes of their texts, broadcast while it is small. All columns are kept; one named like the output is
     replaced, and __text_1 and __text_2 are names that docs may not have.
     """
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() != out.lower()]
     told = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*names, "text"])), F.xxhash64("text").alias(_TEXT[0]), F.xxhash64(F.lit(1), F.col("text")).alias(_TEXT[1]))
     leaks = leaks_by_text(told.select(*_TEXT, "text"), benchmark, least, coverage).withColumnRenamed("leaks", "__leaks")

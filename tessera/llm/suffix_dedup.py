@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASE_INVERSE, BYTE_VALUE, CHUNK_BYTES, chunks, durable, free, mix, powers, range_hash, range_sums, texts_of
+from tessera.llm.common import BASE_INVERSE, BYTE_VALUE, CHUNK_BYTES, bounded_batches, chunks, durable, free, mix, powers, range_hash, range_sums, texts_of
 
 #: Length of the repeated strings, and of the anchors within them.
 LENGTH, ANCHOR = 100, 20
@@ -336,6 +336,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     texts, and of equal rows one is the first. Texts shorter than ``length`` stay. Bytes after a cut character may
     be no valid UTF-8 text, so the kept part is binary. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     named = numbered(docs)
     lists = repeated_ranges(named.select("doc", "text"), length).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     joined = named.join(lists, "doc", "left").select("doc_id", "text", "ranges", "copies")
