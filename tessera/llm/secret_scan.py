@@ -1,21 +1,25 @@
 """Secret scans with a trigram index: Boolean trigram queries derived from each regex pick candidates, which are then verified.
 
-Everything is a DataFrame or SQL function. The index is partitioned by document: for each row, bitmaps tell which of the
-trigrams that any rule asks for occur in its text. A rule's postings are then intersected by bitwise AND, in the same
-task that verifies the row, so neither texts nor postings are shuffled. index_postings() gives the same index as
-(trigram, row key) postings, for a corpus that is searched again and again.
+Everything is a DataFrame or SQL function. index_postings() makes the inverted index, a posting (trigram, text) for each
+trigram that a rule asks for, where a text goes by two 64-bit hashes, so copies share their postings. candidates()
+intersects the postings of each rule's query. Only candidates are verified; rules without a mandatory trigram look at
+every text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
-from re import _constants as sre
-from re import _parser as sre_parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import durable
+
+#: Candidates up to which they travel to the texts; beyond, texts are dealt by hash.
+FEW_CANDIDATES = 300_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -57,7 +61,77 @@ def _either(parts: list):
     return True if True in parts or not parts else parts[0] if len(parts) == 1 else ("or", tuple(parts))
 
 
-def _derive(tokens) -> object:
+class _Regex:
+    """A regex as branches of items: ("char", c), ("any",) for one of several characters, ("edge",) for what takes none,
+    ("group", branches), and ("repeat", least, most, item)."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+        self.branches = self.either()
+        if self.at < len(pattern):
+            raise ValueError(f"unbalanced parenthesis in {pattern!r}")
+
+    def see(self, text: str) -> bool:
+        if not self.pattern.startswith(text, self.at):
+            return False
+        self.at += len(text)
+        return True
+
+    def either(self) -> list[list[tuple]]:
+        out = [self.sequence()]
+        while self.see("|"):
+            out.append(self.sequence())
+        return out
+
+    def sequence(self) -> list[tuple]:
+        out = []
+        while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
+            item = self.atom()
+            while (found := _QUANTIFIER.match(self.pattern, self.at)) is not None:
+                self.at = found.end()
+                sign, least, most = found.groups()
+                low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(sign) or (int(least or 0), int(most) if most else int(least or 0) if most is None else None)
+                item = ("repeat", low, high, item)
+            out.append(item)
+        return out
+
+    def atom(self) -> tuple:
+        p = self.pattern
+        if self.see("("):
+            look = _LOOK.match(p, self.at)
+            opened = _OPENED.match(p, self.at)
+            self.at = look.end() if look else opened.end() if opened else self.at
+            branches = self.either()
+            if not self.see(")"):
+                raise ValueError(f"unbalanced parenthesis in {p!r}")
+            return ("edge",) if look else ("group", branches)
+        if self.see("["):
+            found = _CLASS.match(p, self.at)
+            if found is None:
+                raise ValueError(f"unfinished class in {p!r}")
+            self.at = found.end()
+            return ("any",)
+        if self.see("\\"):
+            code = _CODE.match(p, self.at)
+            if code:
+                self.at = code.end()
+                return ("char", chr(int(code[1] or code[2], 16)))
+            c = p[self.at]
+            self.at += 1
+            return ("edge",) if c in "bBAZz" else ("char", {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}.get(c, c)) if not c.isalnum() or c in "tnrf" else ("any",)
+        c = p[self.at]
+        self.at += 1
+        return ("any",) if c == "." else ("edge",) if c in "^$" else ("char", c)
+
+
+_QUANTIFIER = re.compile(r"(?:([*+?])|\{(\d*)(?:,(\d*))?\})[?+]?")
+_LOOK = re.compile(r"\?<?[=!]")
+_OPENED = re.compile(r"\?(?:[a-zA-Z-]*:|P?<\w+>|>)")
+_CLASS = re.compile(r"\^?\]?(?:\\.|[^\]\\])*\]", re.S)
+_CODE = re.compile(r"x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})")
+
+
+def _derive(items: list[tuple]) -> object:
     found, run = [], ""
 
     def close() -> None:
@@ -65,35 +139,32 @@ def _derive(tokens) -> object:
         found.extend(run[i : i + 3] for i in range(len(run) - 2))
         run = ""
 
-    def walk(tokens) -> None:
+    def walk(items: list[tuple]) -> None:
         nonlocal run
-        for op, value in tokens:
-            if op is sre.LITERAL and value < 128:
-                run += chr(value).lower()
-            elif op is sre.SUBPATTERN:
-                walk(value[3])
-            elif op is sre.MAX_REPEAT or op is sre.MIN_REPEAT:
-                least, most, inner = value
-                if least == most == 1:
-                    walk(inner)
-                    continue
+        for item in items:
+            if item[0] == "char" and ord(item[1]) < 128:
+                run += item[1].lower()
+            elif item[0] == "group" and len(item[1]) == 1:
+                walk(item[1][0])
+            elif item[0] == "group":
                 close()
-                if least:
-                    found.append(_derive(inner))
-            elif op is sre.BRANCH:
+                found.append(_either([_derive(b) for b in item[1]]))
+            elif item[0] == "repeat" and item[1] == item[2] == 1:
+                walk([item[3]])
+            elif item[0] == "repeat" and item[1]:
                 close()
-                found.append(_either([_derive(b) for b in value[1]]))
-            elif op is not sre.AT:
+                found.append(_derive([item[3]]))
+            elif item[0] != "edge":
                 close()
 
-    walk(tokens)
+    walk(items)
     close()
     return _both(found)
 
 
 def trigram_query(pattern: str) -> object:
     """What any text with a match must contain, in lower case: True where the regex has no mandatory trigram."""
-    return _derive(sre_parser.parse(pattern))
+    return _either([_derive(b) for b in _Regex(pattern).branches])
 
 
 def trigrams_of(query) -> set[str]:
@@ -105,56 +176,50 @@ def trigrams_of(query) -> set[str]:
 # --- the index ---------------------------------------------------------------------------------------------------------
 
 _WORD = 62
+_KEY = ["__text_1", "__text_2"]
 
 
-def index_bitmaps(text: Column, trigrams: list[str]) -> dict[str, Column]:
-    """Columns of a row's index: bit i of bitmap j is set if trigram 62 j + i occurs in the lower-cased text."""
-    out = {}
-    for j in range(0, len(trigrams), _WORD):
-        bits = [F.when(F.contains(text, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(trigrams[j : j + _WORD])]
-        out[f"__trigrams_{j // _WORD}"] = reduce(Column.bitwiseOR, bits)
-    return out
+def _grams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
 
 
-def candidate(query, trigrams: list[str]) -> Column:
-    """Whether a row's bitmaps fulfil the query."""
-    if query is True:
-        return F.lit(True)
+def index_postings(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """trigram, __text_1, __text_2: the inverted index over the rules' trigrams of texts(__text_1, __text_2, __text), each posting once."""
+    grams = F.array(*map(F.lit, _grams(rules))).cast("array<string>")
+    low = texts.select(*_KEY, F.lower("__text").alias("low"))
+    return low.select(F.explode(F.filter(grams, lambda g: F.contains(F.col("low"), g))).alias("trigram"), *_KEY).distinct()
+
+
+def _fulfils(query, grams: list[str]) -> Column:
+    """Whether a text's postings, bit i of column b<j> for trigram 62 j + i, fulfil the query."""
     if isinstance(query, str):
         query = ("and", (query,))
     kind, parts = query
-    plain = [p for p in parts if isinstance(p, str)]
-    terms = [candidate(p, trigrams) for p in parts if not isinstance(p, str)]
+    terms = [_fulfils(p, grams) for p in parts if not isinstance(p, str)]
     masks: dict[int, int] = {}
-    for t in plain:
-        j, i = divmod(trigrams.index(t), _WORD)
+    for t in (p for p in parts if isinstance(p, str)):
+        j, i = divmod(grams.index(t), _WORD)
         masks[j] = masks.get(j, 0) | 1 << i
     for j, mask in masks.items():
-        hit = F.col(f"__trigrams_{j}").bitwiseAND(F.lit(mask).cast("long"))
+        hit = F.col(f"b{j}").bitwiseAND(F.lit(mask).cast("long"))
         terms.append(hit == F.lit(mask) if kind == "and" else hit != 0)
     return reduce(Column.__and__ if kind == "and" else Column.__or__, terms)
 
 
-def index_postings(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(trigram, key): the inverted index over the rules' trigrams, to be written sorted by trigram and kept beside the corpus."""
-    grams = sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(F.col(key).alias("key"), low.alias("low")).select("key", F.explode(F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))).alias("trigram"))
-
+def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """__text_1, __text_2, rules: the texts whose postings fulfil the query of any rule, and bit r for each such rule r.
 
-def posting_candidates(postings: DataFrame, rule: Rule) -> DataFrame | None:
-    """Keys whose postings fulfil the rule's query; None where the rule has no mandatory trigram, so that all must be scanned.
-
-    Postings are combined by an aggregate over bits for each key, partial before the shuffle.
+    Postings meet by text, combined before the shuffle; a rule without a mandatory trigram has no bit.
     """
-    query = trigram_query(rule.pattern)
-    if query is True:
-        return None
-    grams = sorted(trigrams_of(query))
-    if len(grams) > _WORD:
-        raise ValueError(f"{rule.kind} asks for more than {_WORD} trigrams")
-    bit = F.element_at(F.create_map(*(F.lit(x) for i, g in enumerate(grams) for x in (g, 1 << i))), F.col("trigram")).cast("long")
-    return postings.where(F.col("trigram").isin(grams)).groupBy("key").agg(F.bit_or(bit).alias("__trigrams_0")).where(candidate(query, grams)).select("key")
+    grams, queries = _grams(rules), [trigram_query(r.pattern) for r in rules]
+    if not grams:
+        return postings.select(*_KEY, F.lit(0).cast("long").alias("rules")).where("false")
+    words = []
+    for j in range(0, len(grams), _WORD):
+        bit = F.element_at(F.create_map(*(F.lit(x) for i, g in enumerate(grams[j : j + _WORD]) for x in (g, 1 << i))), F.col("trigram")).cast("long")
+        words.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias(f"b{j // _WORD}"))
+    bits = [F.when(_fulfils(q, grams), F.lit(1 << r)).otherwise(F.lit(0)).cast("long") for r, q in enumerate(queries) if q is not True]
+    return postings.groupBy(*_KEY).agg(*words).select(*_KEY, reduce(Column.bitwiseOR, bits).alias("rules")).where("rules <> 0")
 
 
 # --- verification ------------------------------------------------------------------------------------------------------
@@ -183,20 +248,25 @@ def _joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "secret_spans") -> DataFrame:
     """docs with an array of spans (start, rank of the rule, kind, end) in order of start and rank; texts stay as they are.
 
-    Null and empty texts have no spans. Rows are judged alone, repeated ones alike. Lengths are code points, ends
-    exclusive. All docs columns are kept, the output column replaces one of its name.
+    Null and empty texts have no spans. Rows are judged alone, repeated ones alike; an empty table gives one. Lengths are
+    code points, ends exclusive. All docs columns are kept, the output column replaces one of its name; __text,
+    __text_1, __text_2 and rules are names that docs may not have. Candidates are broadcast while they are few.
     """
-    queries = [trigram_query(r.pattern) for r in rules]
-    grams = sorted(set().union(*map(trigrams_of, queries)))
     body = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    indexed = body.withColumn("__low", F.lower("__text")).withColumns(index_bitmaps(F.col("__low"), grams)).drop("__low")
+    body = body.withColumns({_KEY[0]: F.xxhash64("__text"), _KEY[1]: F.xxhash64(F.lit(1), F.col("__text"))})
+    postings = durable(index_postings(body.select(*_KEY, "__text"), rules))
+    found = durable(candidates(postings, rules))
+    indexed = body.join(F.broadcast(found) if found.count() <= FEW_CANDIDATES else found, _KEY, "left")
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    found = []
-    for rank, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-        hit = candidate(query, grams) & F.col("__text").rlike(rule.pattern)
-        found.append(F.when(hit, _spans(rule, rank)).otherwise(empty))
-    every = F.array_sort(F.concat(*found), lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["rank"] < b["rank"])), -1).otherwise(1))
-    return indexed.withColumn(out, every).drop("__text", *(f"__trigrams_{j}" for j in range(-(-len(grams) // _WORD))))
+    spans = []
+    for rank, rule in enumerate(rules):
+        hit = F.col("__text").rlike(rule.pattern)
+        if trigram_query(rule.pattern) is not True:
+            hit = (F.coalesce("rules", F.lit(0).cast("long")).bitwiseAND(F.lit(1 << rank).cast("long")) != 0) & hit
+        spans.append(F.when(hit, _spans(rule, rank)).otherwise(empty))
+    every = F.array_sort(F.concat(*spans), lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["rank"] < b["rank"])), -1).otherwise(1))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
+    return indexed.select(*kept, every.alias(out))
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:

@@ -104,13 +104,51 @@ def test_bpe(docs, spark):
         assert r["n_tokens"] == len(want)
         assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-    byte_bpe_long, byte_bpe.LONG = byte_bpe.LONG, 1000
     assert [tok.encode_text(t or "").tolist() for t in TEXTS] == [enc.encode_ordinary(t or "") for t in TEXTS]
-    byte_bpe.LONG = byte_bpe_long
     assert len(set(tok.first.slot.tolist())) == len(tok.keys)  # minimal and perfect
     assert byte_bpe.encode_documents(docs.where("doc_id < 0"), tok).count() == 0
 
 
+def random_texts(n, rng, most=40):
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", "a", "re", "é", "中", "😀", "٣", "7", "½", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", ".", "!", "\u0301", "ſ", "S", "\u200b", "th", "the"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(most))) for _ in range(n)]
+
+
+def test_boundaries_as_by_the_pattern():
+    public = pytest.importorskip("public_tokenizers")
+    assert public.PATTERN == byte_bpe.RUNS
+    tok = byte_bpe.public_tokenizer()
+    texts = ["", *random_texts(3000, random.Random(11)), "", "ends in blanks   ", "'s", "x'", "x'r", "x're", "x'rex", "don't 't  't\n't"]
+    body, at, counts = tok.pieces([t.encode() for t in texts])
+    want = [p.encode() for t in texts for p in tok.split.findall(t)]
+    assert [body[x:y].tobytes() for x, y in zip(at, at[1:])] == want  # noqa: RUF007
+    assert counts.tolist() == [len(tok.split.findall(t)) for t in texts]
+
+
+def test_bpe_of_long_texts_and_other_patterns(spark, monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    public = pytest.importorskip("public_tokenizers")
+    tok = byte_bpe.public_tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=dict(tok.ranks), special_tokens={})
+    rng = random.Random(12)
+    texts = [*random_texts(60, rng, 300), "".join(random_texts(30_000, rng)), "nowhitespace" * 60_000, "word " * 200_000, None]
+    assert max(len(t or "") for t in texts) > byte_bpe.PIECE_BYTES
+    df = spark.createDataFrame([(i, t, "mine", "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens string")
+    got = {r["doc_id"]: r for r in byte_bpe.encode_documents(df, tok, keep_ids=True).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["ids"] == enc.encode_ordinary(t or "")
+        assert got[i]["n_tokens"] == len(got[i]["ids"])
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(got[i]["ids"], "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    for t in texts:
+        assert b"".join(byte_bpe.segments((t or "").encode(), 1000)) == (t or "").encode()
+    other = byte_bpe.public_tokenizer(pattern=r"\w+|\W")
+    enc = tiktoken.Encoding("own", pat_str=other.pattern, mergeable_ranks=dict(tok.ranks), special_tokens={})
+    assert [other.encode_text(t).tolist() for t in texts[:60]] == [enc.encode_ordinary(t) for t in texts[:60]]
+    monkeypatch.setattr(byte_bpe, "MEMORY", 3)
+    assert [tok.encode_text(t).tolist() for t in texts[:20]] == [got[i]["ids"] for i in range(20)]
+
+
 def brute_secrets(text: str):
     found = []
     for kind, pattern, group, least in (
@@ -145,13 +183,44 @@ def test_trigram_queries(spark):
     assert q("[0-9a-f]{16,}") is True
     assert q("(?i:(abc|xyz?w))[:=]") is True
     assert q("(abcd|wxyz)+e") == ("or", (("and", ("abc", "bcd")), ("and", ("wxy", "xyz"))))
-    df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
-    postings = secret_scan.index_postings(df, "doc_id", "text")
-    for rule in secret_scan.RULES:
-        keys = secret_scan.posting_candidates(postings, rule)
-        if keys is not None:
-            true = {r["doc_id"] for r in df.where(F.col("text").rlike(rule.pattern)).collect()}
-            assert true <= {r["key"] for r in keys.collect()}
+    assert q("(?:ab|cd)ef|xyz") == q("a{2,}b") == q(r"(?=abc)\d+.[]abc]") is True
+    assert q(r"\x61bc\.d(?:ef)?") == ("and", ("abc", "bc.", "c.d"))
+    assert q(r"^(?P<x>key)\b-?") == "key"
+    for bad in ("(a", "a)", "[a"):
+        with pytest.raises(ValueError, match=".+"):
+            q(bad)
+
+
+def test_postings_lose_no_match(spark):
+    rng = random.Random(9)
+    parts = ["pass", "word", "pas", "swo", "rd", "=", "AKIA", "aki", "kia", "tok", "en", "secret", "ecr", "abcdefghijklmnop", "xox", "b-", "eyJ", "AIza", " ", "ghp_", "0123456789abcdef"]
+    texts = [*SECRETS, *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300))]
+    df = spark.createDataFrame([(t or "",) for t in texts], "__text string").select(F.xxhash64("__text").alias("__text_1"), F.xxhash64(F.lit(1), "__text").alias("__text_2"), "__text")
+    found = secret_scan.candidates(secret_scan.index_postings(df, secret_scan.RULES), secret_scan.RULES)
+    rules = {r["__text"]: r["rules"] or 0 for r in df.join(found, ["__text_1", "__text_2"], "left").collect()}
+    for rank, rule in enumerate(secret_scan.RULES):
+        query = secret_scan.trigram_query(rule.pattern)
+        holds = lambda t, q: q in t if isinstance(q, str) else (all if q[0] == "and" else any)([holds(t, p) for p in q[1]])  # noqa: E731, B023
+        for t, bits in rules.items():
+            assert bool(bits >> rank & 1) == (query is not True and holds(t.lower(), query)), (rule.kind, t)
+            assert query is True or not re.search(rule.pattern, t, re.ASCII) or bits >> rank & 1
+    assert 0 < sum(map(bool, rules.values())) < len(rules)
+
+
+@pytest.mark.parametrize("few", [300_000, -1])
+def test_secrets_edge_rows(spark, few, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FEW_CANDIDATES", few)
+    schema = "doc_id long, text string, secret_spans string, kind string, start string, trigram string"
+    secret = "password = abcdefghijklmnop"
+    long = "x " * 1_500_000 + secret
+    rows = [(1, secret, "a", "b", "c", "d"), (1, secret, "a", "b", "c", "d"), (None, None, None, None, None, None), (2, "", "", "", "", ""), (3, long, "", "", "", "")]
+    got = secret_scan.scan_secrets(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "kind", "start", "trigram", "secret_spans"]
+    spans = sorted(((r["doc_id"], [(s["start"], s["end"]) for s in r["secret_spans"]]) for r in got.collect()), key=str)
+    assert spans == sorted([(1, [(0, 27)]), (1, [(0, 27)]), (None, []), (2, []), (3, [(3_000_000, 3_000_027)])], key=str)
+    assert secret_scan.scan_secrets(spark.createDataFrame([], schema)).collect() == []
+    only_hex = (secret_scan.Rule("hex", "[0-9a-f]{16,}"),)
+    assert [len(r["secret_spans"]) for r in secret_scan.scan_secrets(spark.createDataFrame([(1, "0123456789abcdef")], "doc_id long, text string"), only_hex).collect()] == [1]
 
 
 def test_language_id(spark):
