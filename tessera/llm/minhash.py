@@ -24,6 +24,8 @@ MOST_VALUES = 400
 SMALL = 8
 #: Members of a larger bucket that the first round draws.
 FIRST_SHARE = 64
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = 16
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -116,8 +118,25 @@ def document_sets(docs: DataFrame, width: int = WORDS, bands: int = BANDS, rows:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
+def parity_sketches(h: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """For each set of hashes in a row, SKETCH words whose bit i says whether an odd number of them falls on i.
+
+    Two sets differ in at least as many members as their sketches differ in bits.
+    """
+    bits = 64 * SKETCH
+    ends = np.concatenate(([0], np.cumsum(per)))
+    out = np.empty((len(per), SKETCH), np.int64)
+    place = (mix(h) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    for a in range(0, len(per), 512):
+        b = min(a + 512, len(per))
+        at = place[ends[a] : ends[b]] + np.repeat(np.arange(b - a), per[a:b]) * bits
+        odd = (np.bincount(at, minlength=(b - a) * bits) & 1).astype(bool).reshape(b - a, bits)
+        out[a:b] = np.packbits(odd, axis=1).view(np.int64)
+    return out
+
+
 def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """rep (the doc_id) and the array of its shingles, sorted as signed numbers."""
+    """rep (the doc_id), the array of its shingles, sorted as signed numbers, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +144,10 @@ def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
             for a, b in chunks(offsets):
                 h, per = shingle_sets(offsets[a : b + 1], data, width)
                 ends = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array((h ^ np.uint64(1 << 63)).view(np.int64)))], names=["rep", "shingles"])
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SKETCH), pa.array(parity_sketches(h, per).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array((h ^ np.uint64(1 << 63)).view(np.int64))), sketches], names=["rep", "shingles", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"rep {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"rep {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,19 +171,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """bucket (a shingle), rep, n, m and keys (all its buckets in order) for the prefix of each set: enough of its rarest shingles that a set of another component that is similar enough shares one.
+    """bucket (a shingle), rep, n, m, sketch and keys (all its buckets in order) for the prefix of each set: enough of its rarest shingles that a set of another component that is similar enough shares one.
 
     Shingles of one component only can't link two; they come first in the order and are left out; m is
     the number of the others, the most that the set can share with one of another component.
     """
-    named = sets.join(labels, sets["rep"] == labels["node"], "left").select("rep", F.size("shingles").cast("long").alias("n"), F.coalesce("label", "rep").alias("label"), "shingles")
+    named = sets.join(labels, sets["rep"] == labels["node"], "left").select("rep", F.size("shingles").cast("long").alias("n"), F.coalesce("label", "rep").alias("label"), "shingles", "sketch")
     flat = named.select("rep", "n", "label", F.explode("shingles").alias("bucket"))
     shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "f")
-    ordered = flat.join(shared, "bucket").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "bucket"))).alias("s"))
+    ordered = flat.join(durable(shared), "bucket").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "bucket"))).alias("s"))
     least = F.expr(f"(n * {percent} + 99) div 100")
     length = (F.col("n") - least + 1) - (F.col("n") - F.size("s"))
     keys = F.transform(F.slice("s", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda x: x["bucket"])
-    return ordered.where(length > 0).select("rep", "n", F.size("s").cast("long").alias("m"), keys.alias("keys")).withColumn("bucket", F.explode("keys"))
+    prefixes = ordered.where(length > 0).select("rep", "n", F.size("s").cast("long").alias("m"), keys.alias("keys"))
+    return prefixes.join(sets.select("rep", "sketch"), "rep").withColumn("bucket", F.explode("keys"))
 
 
 def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -185,6 +206,8 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
     4. Buckets of prefixes whose members are in different components are compared in rounds. A round draws a share of
        the members that haven't been compared yet, sixteen times as many as the round before, and compares them with the
        members of other components; a bucket is done when its open members lie in one component. So no link is lost.
+       Of these pairs, only those go to the full sets whose parity sketches differ in no more bits than two sets that
+       are similar enough differ in members.
 
     A null or empty text, or one without words, has no shingles, and is a class of its own. A repeated doc_id stands for
     each of its rows: they count as one document if their texts have one set. A row whose doc_id is null has a null
@@ -197,6 +220,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
     reps = durable(whole.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
     placed = reps.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
     buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1")
+    buckets = durable(buckets)  # a join with an aggregate's output that stands beside it in one stage isn't split where skewed
     members = durable(placed.join(buckets, "bucket").select("bucket", "rep", "n", "pivot"))
     pivots = members.where("rep = pivot").select("bucket", F.col("n").alias("pn"))
     near = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
@@ -224,21 +248,23 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
         """Open members with their labels, of buckets where these differ, and the bucket's size."""
         state = open_members.join(labels, open_members["rep"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
         apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
-        return durable(state.join(apart, "bucket"))
+        return durable(state.join(durable(apart), "bucket"))
 
     def across(state: DataFrame, drawn: Column) -> DataFrame:
         """Pairs of a drawn member and one of another component that can still be similar enough, each in the first bucket that both are in, and once."""
         marked = state.withColumn("drawn", drawn)
-        left = marked.where("drawn").select("bucket", F.col("rep").alias("x"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("xl"), F.col("keys").alias("pkeys"))
+        left = marked.where("drawn").select("bucket", F.col("rep").alias("x"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("xl"), F.col("keys").alias("pkeys"), F.col("sketch").alias("psketch"))
         enough = f"{100 + percent} * least(m, pm) >= {percent} * (n + pn)"
         first = "try_element_at(array_intersect(keys, pkeys), 1) = bucket"
-        return marked.join(left, "bucket").where(f"label <> xl AND (NOT drawn OR rep > x) AND {enough} AND {first}").select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v"))
+        differ = " + ".join(f"bit_count(sketch[{i}] ^ psketch[{i}])" for i in range(SKETCH))
+        close = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + pn)"
+        return marked.join(left, "bucket").where(f"label <> xl AND (NOT drawn OR rep > x) AND {enough} AND {close} AND {first}").select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v"))
 
     state = mixed(members.where("rep > pivot").select("bucket", "rep", "n", F.col("n").alias("m")))
     small = state.where(F.col("size") <= SMALL)
     hot = durable(state.where(F.col("size") > SMALL).select("rep").distinct())
     # small buckets only: a pair that shares a large one is found by its prefixes
-    shared = small.groupBy("rep").agg(F.array_sort(F.collect_set("bucket")).alias("keys"))
+    shared = small.groupBy("rep").agg(F.array_sort(F.collect_set("bucket")).alias("keys")).join(sets.select("rep", "sketch"), "rep")
     compare(across(small.join(shared, "rep"), F.lit(True)))
     open_members, share = durable(_prefixes(sets.join(hot, "rep"), labels, percent)), FIRST_SHARE
     while True:
