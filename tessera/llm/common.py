@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one kernel call handles at once; it bounds the memory of a Python worker.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
