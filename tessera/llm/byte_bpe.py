@@ -22,7 +22,7 @@ from tessera.llm.common import BYTE_VALUE, IS_SPACE, bounded_batches, chunks, mi
 #: Bytes of text that are encoded at once; a longer text is cut where white space begins, which is always a boundary.
 PIECE_BYTES = 1 << 19
 #: Encodings of pre-tokens outside the vocabulary that a worker remembers: twice as many, the older half goes first.
-MEMORY = 75_000
+MEMORY = 200_000
 #: Fixed value: the pattern whose boundaries boundaries() finds.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTER, _SPACE = 1, 3
@@ -145,23 +145,28 @@ class PerfectHash:
         return self.slot[np.where(d < 0, -d - 1, self._slots(h, np.maximum(d, 0)))]
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """BPE of one pre-token: always join the leftmost pair of lowest rank.
+def merge_bytes(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
+    """BPE of one pre-token: always join the leftmost pair of lowest rank. ``pairs`` has the rank of each two bytes, or -1.
 
     Parts form a linked list over the bytes; pairs wait in a heap as rank * n + start. A pair that has changed since it
-    was put there no longer has that rank in ``pair`` and is passed over.
+    was put there no longer has that rank in ``pair`` and is passed over. A part's rank is its id.
     """
     n, get = len(piece), ranks.get
-    after, before = list(range(1, n + 2)), list(range(-1, n))
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair = [pairs[x << 8 | y] for x, y in zip(piece, piece[1:])]  # noqa: RUF007
     pair.append(-1)
     heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+    if not heap:
+        return [ranks[piece[i : i + 1]] for i in range(n)]
+    after, before, ids = list(range(1, n + 2)), list(range(-1, n)), [-1] * n
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
-        rank, i = divmod(pop(heap), n)
-        if pair[i] != rank:
+        top = pop(heap)
+        i = top % n
+        rank = pair[i]
+        if rank * n + i != top:
             continue
+        ids[i] = rank
         gone = after[i]
         end = after[gone]
         pair[gone], after[i] = -1, end
@@ -179,9 +184,8 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 push(heap, r * n + left)
     out, i = [], 0
     while i < n:
-        end = after[i]
-        out.append(ranks[piece[i:end]])
-        i = end
+        out.append(ids[i] if ids[i] >= 0 else ranks[piece[i : i + 1]])
+        i = after[i]
     return out
 
 
@@ -208,12 +212,16 @@ class Tokenizer:
 
     def _ready(self) -> None:
         self.ranks = dict(zip(self.keys, self.rank.tolist(), strict=True))
+        self.pairs = [-1] * 65536
+        for key, rank in self.ranks.items():
+            if len(key) == 2:
+                self.pairs[key[0] << 8 | key[1]] = rank
         self.split = regex.compile(self.pattern)
-        self.seen: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("ranks", "split", "seen", "older")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ranks", "pairs", "split", "seen", "older")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -230,16 +238,15 @@ class Tokenizer:
         flat = [p.encode() for text in found for p in text]
         return np.frombuffer(b"".join(flat), np.uint8), np.cumsum([0, *map(len, flat)]), np.array([len(x) for x in found], np.int64)
 
-    def _merged(self, piece: bytes) -> list[int]:
-        got = self.seen.get(piece)
+    def _new(self, piece: bytes) -> bytes:
+        """Ids of a pre-token that isn't among those seen lately, as 32-bit numbers; it is from now on."""
+        got = self.older.get(piece)
         if got is None:
-            got = self.older.get(piece)
-            if got is None:
-                got = merge_bytes(piece, self.ranks)
-            if len(piece) <= 64:
-                if len(self.seen) >= MEMORY:
-                    self.older, self.seen = self.seen, {}
-                self.seen[piece] = got
+            got = np.array(merge_bytes(piece, self.ranks, self.pairs), np.uint32).tobytes()
+        if len(piece) <= 64:
+            if len(self.seen) >= MEMORY:
+                self.older, self.seen = self.seen, {}
+            self.seen[piece] = got
         return got
 
     def ids(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +268,9 @@ class Tokenizer:
             one = which = np.arange(len(other))  # two pre-tokens have one hash: each by itself
         raw = body.tobytes()
         a, b = offsets[:-1][other[one]].tolist(), offsets[1:][other[one]].tolist()
-        made = [self._merged(raw[x:y]) for x, y in zip(a, b, strict=True)]
-        n = np.array([len(m) for m in made], np.int64)
-        flat = np.fromiter((i for m in made for i in m), np.uint32, int(n.sum()))
+        made = [self.seen.get(piece := raw[x:y]) or self._new(piece) for x, y in zip(a, b, strict=True)]
+        n = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        flat = np.frombuffer(b"".join(made), np.uint32)
         count = np.ones(len(size), np.int64)
         count[other] = n[which]
         at = np.cumsum(count) - count
