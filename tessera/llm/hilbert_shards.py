@@ -80,7 +80,7 @@ def text_bounds(df: DataFrame, key: str, bits: int) -> list[str]:
 
 
 def hilbert_order(df: DataFrame, dimensions: list[str], ties: list[str], bits: int = BITS) -> DataFrame:
-    """df with hilbert, part and place: rows sorted by curve index and then by ``ties``, in ranges by ``part``, ``place`` counting from 0 in each.
+    """df with hilbert, __part and __place: rows sorted by curve index and then by ``ties``, in ranges by ``__part``, ``__place`` counting from 0 in each.
 
     Each dimension is cut at its quantiles: approximate ones of numbers and times (an aggregate with partial results,
     2**bits - 1 numbers a dimension), exact ones of whole texts (text_bounds), so a value that a third of all rows share takes a cell of its own and the rest spread over the others.
@@ -105,7 +105,7 @@ def hilbert_order(df: DataFrame, dimensions: list[str], ties: list[str], bits: i
     ordered = keyed.withColumn("hilbert", curve(*keys.values())).drop(*keys.values())
     ordered = ordered.repartitionByRange(n, "hilbert", *ties).sortWithinPartitions("hilbert", *ties)
     at = F.monotonically_increasing_id()
-    return durable(ordered.withColumns({"part": F.shiftrightunsigned(at, 33), "place": at.bitwiseAND((1 << 33) - 1)}))
+    return durable(ordered.withColumns({"__part": F.shiftrightunsigned(at, 33), "__place": at.bitwiseAND((1 << 33) - 1)}))
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -113,18 +113,18 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards
 
     A row's place in the whole order is its place in its range plus the counts of the ranges before, a list as long as
     the number of partitions; so no task sees all rows. An empty table gives an empty one; rows equal in the curve
-    index and all ties stand in any order.
+    index and all ties stand in any order. df's columns of the three names are replaced, all others are kept.
     """
     ordered = hilbert_order(df, dimensions, ties, bits)
-    counts = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())
+    counts = sorted((r["__part"], r["count"]) for r in ordered.groupBy("__part").count().collect())
     total = sum(c for _, c in counts)
     ends = np.cumsum([c for _, c in counts]).tolist()
-    first = df.sparkSession.createDataFrame([(p, e - c) for (p, c), e in zip(counts, ends, strict=True)] or [(0, 0)], "part long, __first long")
-    at = F.col("__first") + F.col("place")
+    first = df.sparkSession.createDataFrame([(p, e - c) for (p, c), e in zip(counts, ends, strict=True)] or [(0, 0)], "__part long, __first long")
+    at = F.col("__first") + F.col("__place")
     shard = F.expr(f"(__at * {shards}L) div {max(total, 1)}L")
-    placed = ordered.join(F.broadcast(first), "part").withColumn("__at", at).withColumn("shard", shard.cast("int"))
+    placed = ordered.join(F.broadcast(first), "__part").withColumn("__at", at).withColumn("shard", shard.cast("int"))
     slot = F.col("__at") - F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("slot", slot.cast("long")).drop("part", "place", "__first", "__at")
+    return placed.withColumn("slot", slot.cast("long")).drop("__part", "__place", "__first", "__at")
 
 
 def op9_hilbert_shards(spark, sf_dir: str) -> DataFrame:
