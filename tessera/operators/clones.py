@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import FNV_OFFSET, FNV_PRIME, TOKEN
 from tessera.operators.languages import PLAIN, UNKNOWN_COMMENTS
+from tessera.session import kept
 
 # Bases of the two rolling hashes, and places of a fingerprint that are kept.
 BASE_1, BASE_2 = 0x01000193, 0x5BD1E995
@@ -154,6 +155,7 @@ def clone_blocks(tokens: DataFrame, threshold: int = 100) -> DataFrame:
     that touch are merged and keep the first partner. Copies within a file must not overlap.
     """
     k, _ = window_sizes(threshold)
+    tokens = kept(tokens.select("path", "ids", "lines"))  # five uses of one pass over the texts
     pairs = seeds(fingerprints(tokens, threshold)).groupBy("path", "partner").agg(F.sort_array(F.collect_list(F.struct("pos", "partner_pos"))).alias("s"))
     own = tokens.select("path", F.col("ids").alias("a"))
     other = tokens.select(F.col("path").alias("partner"), F.col("ids").alias("b"), F.col("lines").alias("b_lines"))
@@ -176,28 +178,29 @@ def clone_blocks(tokens: DataFrame, threshold: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "pos", "partner", "partner_pos", "s", "e", "partner_line"])
 
     matches = pairs.join(own, "path").join(other, "partner").select("path", "partner", "s", "a", "b", "b_lines").mapInArrow(extend, "path string, pos int, partner string, partner_pos int, s int, e int, partner_line int")
-    lists = matches.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", "partner", "partner_pos", "s", "e", "partner_line"))).alias("m"))
+    return covering_blocks(matches).join(tokens.select("path", "lines"), "path").select(
+        "path", F.element_at("lines", F.col("s") + 1).alias("start_line"), F.element_at("lines", F.col("e")).alias("end_line"), (F.col("e") - F.col("s")).alias("tokens"),
+        F.col("partner").alias("partner_path"), "partner_line",
+    )
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, m, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                lines, found = np.asarray(lines.values), []
-                for x in m:
-                    if not any(f["s"] <= x["pos"] < f["e"] for f in found):
-                        found.append(x)
-                merged: list[dict] = []
-                for x in sorted(found, key=lambda x: x["s"]):
-                    if merged and x["s"] <= merged[-1]["e"]:
-                        merged[-1]["e"] = max(merged[-1]["e"], x["e"])
-                    else:
-                        merged.append(dict(x))
-                rows += [(path, int(lines[x["s"]]), int(lines[x["e"] - 1]), x["e"] - x["s"], x["partner"], x["partner_line"]) for x in merged]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "start_line", "end_line", "tokens", "partner_path", "partner_line"])
-
-    return lists.join(tokens.select("path", "lines"), "path").mapInArrow(cover, "path string, start_line int, end_line int, tokens int, partner_path string, partner_line int")
+
+def covering_blocks(matches: DataFrame) -> DataFrame:
+    """path, s, e, partner, partner_line: the blocks that a file takes of its matches(path, pos, partner, partner_pos, s, e, partner_line).
+
+    In the order of pos, every match reaches from before its pos to its end, so one is passed over if its pos lies
+    before the furthest end that was taken so far. Blocks taken are then islands over their ends, by start.
+    """
+    order = F.sort_array(F.collect_list(F.struct("pos", "partner", "partner_pos", "s", "e", "partner_line")))
+    block = lambda x: F.struct(x["s"].alias("s"), x["pos"].alias("pos"), x["e"].alias("e"), x["partner"].alias("partner"), x["partner_line"].alias("partner_line"))
+    none = F.expr("cast(array() as array<struct<s:int,pos:int,e:int,partner:string,partner_line:int>>)")
+    take = lambda acc, x: F.when(x["pos"] >= acc["reach"], F.struct(F.greatest(acc["reach"], x["e"]).alias("reach"), F.concat(acc["taken"], F.array(block(x))).alias("taken"))).otherwise(acc)
+    taken = F.aggregate(order, F.struct(F.lit(0).alias("reach"), none.alias("taken")), take, lambda acc: acc["taken"])
+    rows = matches.groupBy("path").agg(F.array_sort(taken).alias("taken")).select("path", F.posexplode("taken").alias("n", "x")).select("path", "n", "x.*")
+    by_start = Window.partitionBy("path").orderBy("n")
+    before = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(by_start)
+    grouped = rows.withColumn("before", before).withColumn("island", island).groupBy("path", "island")
+    return grouped.agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by(F.struct("partner", "partner_line"), "n").alias("p")).select("path", "s", "e", "p.partner", "p.partner_line")
 
 
 def with_blocks(analysis: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -69,9 +69,14 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_END, -1)).alias("line", "raw")).withColumn("trimmed", trimmed(F.col("raw")))
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """path, pos (from 0), line and token over the code lines of each file."""
+def token_lists(files: DataFrame) -> DataFrame:
+    """path and ``words``, an array of line and token over the code lines of each file. Rows are independent."""
     prefixes = comment_prefixes(F.col("language_key"))
     df = files.select("path", prefixes.alias("__p"), lines_of(F.coalesce("text", F.lit(""))).alias("__l"))
     per_line = F.transform("__l", lambda l, i: F.when((trimmed(l) == "") | starts_with_any(trimmed(l), F.col("__p")), F.expr("cast(array() as array<struct<line:int,token:string>>)")).otherwise(F.transform(F.regexp_extract_all(l, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(i.cast("int").alias("line"), t.alias("token")))))  # noqa: E741
-    return df.select("path", F.posexplode(F.flatten(per_line)).alias("pos", "x")).select("path", "pos", "x.line", "x.token")
+    return df.select("path", F.flatten(per_line).alias("words"))
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """path, pos (from 0), line and token over the code lines of each file."""
+    return token_lists(files).select("path", F.posexplode("words").alias("pos", "x")).select("path", "pos", "x.line", "x.token")

@@ -49,6 +49,11 @@ def compact(samples: DataFrame, now: int | Column, key: str = "key") -> DataFram
     return keep_newest(roll_up(samples, now, key), key)
 
 
+def clear(samples: DataFrame, key_value, key: str = "key") -> DataFrame:
+    """samples without one series."""
+    return samples.where(~F.col(key).eqNullSafe(F.lit(key_value)))
+
+
 def delta(samples: DataFrame, key: str = "key") -> DataFrame:
     """Of series with two samples and more: change of score since the first and since the one before, and the time between first and last."""
     two = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("t", "score")))), 1, 2)

@@ -7,33 +7,84 @@ from pyspark.sql import functions as F
 
 # Languages, their names and extensions, as results show them.
 STRUCTURED = {
-    "bash": ("Bash", ".sh .bash .zsh"), "c": ("C", ".c .h"), "cpp": ("C++", ".cpp .cc .cxx .hpp .hh .hxx .ipp .inl"), "c_sharp": ("C#", ".cs"),
-    "dart": ("Dart", ".dart"), "elixir": ("Elixir", ".ex .exs"), "go": ("Go", ".go"), "java": ("Java", ".java"),
-    "javascript": ("JavaScript", ".js .jsx .mjs .cjs"), "typescript": ("TypeScript", ".ts .mts .cts"), "tsx": ("TypeScript React", ".tsx"),
-    "kotlin": ("Kotlin", ".kt .kts"), "lua": ("Lua", ".lua"), "objc": ("Objective-C", ".m .mm"), "ocaml": ("OCaml", ".ml .mli"),
-    "php": ("PHP", ".php .phtml"), "python": ("Python", ".py .pyw .pyi"), "rescript": ("ReScript", ".res .resi"), "ruby": ("Ruby", ".rb .rake .gemspec"),
-    "rust": ("Rust", ".rs"), "scala": ("Scala", ".scala .sc"), "solidity": ("Solidity", ".sol"), "swift": ("Swift", ".swift"), "zig": ("Zig", ".zig"),
+    "bash": ("Bash", [".sh", ".bash", ".zsh"]),
+    "c": ("C", [".c", ".h"]),
+    "cpp": ("C++", [".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx", ".ipp", ".inl"]),
+    "c_sharp": ("C#", [".cs"]),
+    "dart": ("Dart", [".dart"]),
+    "elixir": ("Elixir", [".ex", ".exs"]),
+    "go": ("Go", [".go"]),
+    "java": ("Java", [".java"]),
+    "javascript": ("JavaScript", [".js", ".jsx", ".mjs", ".cjs"]),
+    "typescript": ("TypeScript", [".ts", ".mts", ".cts"]),
+    "tsx": ("TypeScript React", [".tsx"]),
+    "kotlin": ("Kotlin", [".kt", ".kts"]),
+    "lua": ("Lua", [".lua"]),
+    "objc": ("Objective-C", [".m", ".mm"]),
+    "ocaml": ("OCaml", [".ml", ".mli"]),
+    "php": ("PHP", [".php", ".phtml"]),
+    "python": ("Python", [".py", ".pyw", ".pyi"]),
+    "rescript": ("ReScript", [".res", ".resi"]),
+    "ruby": ("Ruby", [".rb", ".rake", ".gemspec"]),
+    "rust": ("Rust", [".rs"]),
+    "scala": ("Scala", [".scala", ".sc"]),
+    "solidity": ("Solidity", [".sol"]),
+    "swift": ("Swift", [".swift"]),
+    "zig": ("Zig", [".zig"]),
 }
 # Languages that are measured from text alone: name, comment prefixes, extensions.
 PLAIN = {
-    "elm": ("Elm", ["--"], ".elm"), "haskell": ("Haskell", ["--"], ".hs .lhs"), "pascal": ("Pascal", ["//", "{", "(*"], ".pas .pp .dpr"),
-    "fortran": ("Fortran", ["!", "c ", "C "], ".f .for .f77 .f90 .f95 .f03 .f08"), "vb": ("Visual Basic", ["'", "REM "], ".vb .vbs .bas"),
-    "r": ("R", ["#"], ".r"), "julia": ("Julia", ["#"], ".jl"), "perl": ("Perl", ["#"], ".pl .pm .t"), "clojure": ("Clojure", [";"], ".clj .cljs .cljc .edn"),
-    "lisp": ("Lisp", [";"], ".lisp .lsp .el .scm .ss .rkt"), "erlang": ("Erlang", ["%"], ".erl .hrl"), "fsharp": ("F#", ["//"], ".fs .fsi .fsx"),
-    "groovy": ("Groovy", ["//"], ".groovy .gradle .gvy"), "powershell": ("PowerShell", ["#"], ".ps1 .psm1 .psd1"), "batch": ("Batch", ["REM ", "rem ", "::"], ".bat .cmd"),
-    "sql": ("SQL", ["--"], ".sql .psql .plsql"), "asm": ("Assembly", [";", "#", "//"], ".asm .s .nasm"), "verilog": ("Verilog", ["//"], ".v .sv .svh .vh"),
-    "vhdl": ("VHDL", ["--"], ".vhd .vhdl"), "cobol": ("COBOL", ["*"], ".cob .cbl .cpy"), "ada": ("Ada", ["--"], ".ada .adb .ads"), "tcl": ("Tcl", ["#"], ".tcl"),
-    "nim": ("Nim", ["#"], ".nim"), "crystal": ("Crystal", ["#"], ".cr"), "d": ("D", ["//"], ".d"), "matlab": ("MATLAB/Octave", ["%"], ".matlab"),
-    "coffeescript": ("CoffeeScript", ["#"], ".coffee"), "vue": ("Vue SFC", ["//", "<!--"], ".vue"), "svelte": ("Svelte", ["//", "<!--"], ".svelte"),
-    "html": ("HTML", ["<!--"], ".html .htm"), "css": ("CSS", ["/*"], ".css .scss .sass .less .styl"), "gdscript": ("GDScript", ["#"], ".gd"),
-    "cuda": ("CUDA", ["//"], ".cu .cuh"), "glsl": ("GLSL/HLSL", ["//"], ".glsl .vert .frag .hlsl .shader"), "prolog": ("Prolog", ["%"], ".pro .prolog"),
-    "apex": ("Apex", ["//"], ".cls .trigger"), "abap": ("ABAP", ["*", '"'], ".abap"), "makefile": ("Makefile", ["#"], ".mk"), "cmake": ("CMake", ["#"], ".cmake"),
-    "dockerfile": ("Dockerfile", ["#"], ".dockerfile"), "terraform": ("Terraform/HCL", ["#", "//"], ".tf .hcl"), "protobuf": ("Protocol Buffers", ["//"], ".proto"),
-    "graphql": ("GraphQL", ["#"], ".graphql .gql"),
+    "elm": ("Elm", ["--"], [".elm"]),
+    "haskell": ("Haskell", ["--"], [".hs", ".lhs"]),
+    "pascal": ("Pascal", ["//", "{", "(*"], [".pas", ".pp", ".dpr"]),
+    "fortran": ("Fortran", ["!", "c ", "C "], [".f", ".for", ".f77", ".f90", ".f95", ".f03", ".f08"]),
+    "vb": ("Visual Basic", ["'", "REM "], [".vb", ".vbs", ".bas"]),
+    "r": ("R", ["#"], [".r"]),
+    "julia": ("Julia", ["#"], [".jl"]),
+    "perl": ("Perl", ["#"], [".pl", ".pm", ".t"]),
+    "clojure": ("Clojure", [";"], [".clj", ".cljs", ".cljc", ".edn"]),
+    "lisp": ("Lisp", [";"], [".lisp", ".lsp", ".el", ".scm", ".ss", ".rkt"]),
+    "erlang": ("Erlang", ["%"], [".erl", ".hrl"]),
+    "fsharp": ("F#", ["//"], [".fs", ".fsi", ".fsx"]),
+    "groovy": ("Groovy", ["//"], [".groovy", ".gradle", ".gvy"]),
+    "powershell": ("PowerShell", ["#"], [".ps1", ".psm1", ".psd1"]),
+    "batch": ("Batch", ["REM ", "rem ", "::"], [".bat", ".cmd"]),
+    "sql": ("SQL", ["--"], [".sql", ".psql", ".plsql"]),
+    "asm": ("Assembly", [";", "#", "//"], [".asm", ".s", ".nasm"]),
+    "verilog": ("Verilog", ["//"], [".v", ".sv", ".svh", ".vh"]),
+    "vhdl": ("VHDL", ["--"], [".vhd", ".vhdl"]),
+    "cobol": ("COBOL", ["*"], [".cob", ".cbl", ".cpy"]),
+    "ada": ("Ada", ["--"], [".ada", ".adb", ".ads"]),
+    "tcl": ("Tcl", ["#"], [".tcl"]),
+    "nim": ("Nim", ["#"], [".nim"]),
+    "crystal": ("Crystal", ["#"], [".cr"]),
+    "d": ("D", ["//"], [".d"]),
+    "matlab": ("MATLAB/Octave", ["%"], [".matlab"]),
+    "coffeescript": ("CoffeeScript", ["#"], [".coffee"]),
+    "vue": ("Vue SFC", ["//", "<!--"], [".vue"]),
+    "svelte": ("Svelte", ["//", "<!--"], [".svelte"]),
+    "html": ("HTML", ["<!--"], [".html", ".htm"]),
+    "css": ("CSS", ["/*"], [".css", ".scss", ".sass", ".less", ".styl"]),
+    "gdscript": ("GDScript", ["#"], [".gd"]),
+    "cuda": ("CUDA", ["//"], [".cu", ".cuh"]),
+    "glsl": ("GLSL/HLSL", ["//"], [".glsl", ".vert", ".frag", ".hlsl", ".shader"]),
+    "prolog": ("Prolog", ["%"], [".pro", ".prolog"]),
+    "apex": ("Apex", ["//"], [".cls", ".trigger"]),
+    "abap": ("ABAP", ["*", "\""], [".abap"]),
+    "makefile": ("Makefile", ["#"], [".mk"]),
+    "cmake": ("CMake", ["#"], [".cmake"]),
+    "dockerfile": ("Dockerfile", ["#"], [".dockerfile"]),
+    "terraform": ("Terraform/HCL", ["#", "//"], [".tf", ".hcl"]),
+    "protobuf": ("Protocol Buffers", ["//"], [".proto"]),
+    "graphql": ("GraphQL", ["#"], [".graphql", ".gql"]),
 }
 # File names without a telling extension, and extensions of data, settings and prose.
 SPECIAL_NAMES = {"makefile": "tier2:makefile", "gnumakefile": "tier2:makefile", "dockerfile": "tier2:dockerfile", "cmakelists.txt": "tier2:cmake", "rakefile": "ruby", "gemfile": "ruby", "jenkinsfile": "tier2:groovy"}
-NOT_SOURCE = ".json .jsonc .yaml .yml .toml .xml .md .markdown .txt .csv .tsv .lock .ini .cfg .conf .env .properties .rst .svg .log .ipynb_checkpoints .map .snap".split()
+NOT_SOURCE = [
+    ".json", ".jsonc", ".yaml", ".yml", ".toml", ".xml", ".md", ".markdown", ".txt", ".csv",
+    ".tsv", ".lock", ".ini", ".cfg", ".conf", ".env", ".properties", ".rst", ".svg", ".log",
+    ".ipynb_checkpoints", ".map", ".snap",
+]
 UNKNOWN_COMMENTS = ["//", "#"]
 NO_INDENT_NESTING = ["html", "css", "vue", "svelte", "xml"]
 LINE_COMMENTS = {"python": "#", "bash": "#", "ruby": "#", "elixir": "#", "lua": "--", "sql": "--"}
@@ -42,9 +93,9 @@ BLOCK_COMMENTS = {"ocaml": ("(*", "*)")}
 
 def extension_map() -> dict[str, str]:
     """Extension to language key; structured languages come first where two claim one."""
-    out = {e: key for key, (_, exts) in STRUCTURED.items() for e in exts.split()}
+    out = {e: key for key, (_, exts) in STRUCTURED.items() for e in exts}
     for key, (_, _, exts) in PLAIN.items():
-        for e in exts.split():
+        for e in exts:
             out.setdefault(e, f"tier2:{key}")
     return out
 
@@ -91,8 +142,8 @@ def display_name(key: Column) -> Column:
 
 def languages(spark: SparkSession) -> DataFrame:
     """The dimension of languages: key, name, tier, comment prefixes, extensions."""
-    rows = [(k, n, 1, list(UNKNOWN_COMMENTS), e.split()) for k, (n, e) in STRUCTURED.items()]
-    rows += [(f"tier2:{k}", n, 2, c, e.split()) for k, (n, c, e) in PLAIN.items()]
+    rows = [(k, n, 1, list(UNKNOWN_COMMENTS), e) for k, (n, e) in STRUCTURED.items()]
+    rows += [(f"tier2:{k}", n, 2, c, e) for k, (n, c, e) in PLAIN.items()]
     return spark.createDataFrame(rows, "language_key string, name string, tier int, comments array<string>, extensions array<string>")
 
 

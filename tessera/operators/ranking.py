@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil, sqrt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,11 @@ def sort_list(mart: DataFrame, column: str, descending: bool = True) -> DataFram
     return mart.orderBy(F.col(column).desc() if descending else F.col(column).asc(), "path")
 
 
+def by_metric(mart: DataFrame, metric: str) -> DataFrame:
+    """Files in the order of one of METRICS, the worst first."""
+    return sort_list(mart, METRICS[metric])
+
+
 def worst_file(mart: DataFrame) -> DataFrame:
     return mart.orderBy(F.desc("debt"), "path").limit(1)
 
@@ -111,11 +114,11 @@ def place_blocks(floored: DataFrame, base: float = 1.0) -> DataFrame:
     side = F.lit(base) * F.pow(F.lit(SHRINK), F.col("floor"))
     cell = side / columns
     width = cell * (LEAST_WIDTH + (MOST_WIDTH - LEAST_WIDTH) * F.sqrt(F.greatest("sloc", F.lit(0)) / F.greatest("__most", F.lit(1))))
-    most = F.max("debt").over(Window.partitionBy())
-    return size.withColumns({
+    most = F.col("__debt")
+    return size.crossJoin(F.broadcast(floored.agg(F.max("debt").alias("__debt")))).withColumns({  # one row
         "row": row.cast("int"), "column": F.when(row % 2 == 0, along).otherwise(columns - 1 - along).cast("int"), "side": side, "width": width,
         "height": F.least(log_height(F.col("debt"), most) * cell, width * ASPECT),
-    }).drop("__n", "__rank", "__most")
+    }).drop("__n", "__rank", "__most", "__debt")
 
 
 def squarify(sizes: list[float], x: float, y: float, width: float, height: float) -> list[tuple[float, float, float, float]]:
@@ -144,6 +147,3 @@ def squarify(sizes: list[float], x: float, y: float, width: float, height: float
             y, height = y + thick, height - thick
     return out
 
-
-def grid_columns(n: int) -> int:
-    return ceil(sqrt(n))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import MARKERS
 from tessera.operators import braces
-from tessera.operators.clones import fnv1a
+from tessera.operators.clones import fnv1a, token_arrays
 from tessera.operators.generic import DIRECTIVE_PREFIX, measure_generic
 
 # Tokens that count as neither operators nor operands, and the longest name shown.
@@ -283,6 +283,7 @@ def analyze(routed: DataFrame, prefix: str = DIRECTIVE_PREFIX) -> DataFrame:
     """Routed files (operators/routing.py) with one row each of measurements, whatever their tier.
 
     Tier 1 is parsed; what doesn't parse becomes tier 2 with has_syntax_errors. Tier 3 keeps zeros and empty lists.
+    Parsed files have their tokens as ids and token_lines, which are null elsewhere: see token_stream().
     """
     generic = measure_generic(routed.where("tier = 2"), prefix=prefix).withColumn("has_syntax_errors", F.lit(False))
     parsed = measure_structure(routed.where("tier = 1"), prefix)
@@ -290,7 +291,7 @@ def analyze(routed: DataFrame, prefix: str = DIRECTIVE_PREFIX) -> DataFrame:
     broken = parsed.where("NOT parsed").select(*routed.columns).withColumns({"tier": F.lit(2), "note": F.lit("does not parse; partial analysis")})
     broken = measure_generic(broken, prefix=prefix).withColumn("has_syntax_errors", F.lit(True))
     skipped = routed.where("tier = 3").withColumn("has_syntax_errors", F.lit(False)).withColumns({"lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)), "sloc": F.lit(0), "comment_lines": F.lit(0)})
-    columns = [*routed.columns, "lines", "sloc", "comment_lines", "line_lengths", "functions", "classes", "todos", "suppressions", "indent_nesting", "has_syntax_errors"]
+    columns = [*routed.columns, "lines", "sloc", "comment_lines", "line_lengths", "functions", "classes", "todos", "suppressions", "indent_nesting", "has_syntax_errors", "ids", "token_lines"]
     types = {f.name: f.dataType for f in whole.schema}
     out = None
     for part in (whole, generic, broken, skipped):
@@ -299,6 +300,21 @@ def analyze(routed: DataFrame, prefix: str = DIRECTIVE_PREFIX) -> DataFrame:
     return out
 
 
+def token_stream(analyzed: DataFrame) -> DataFrame:
+    """path, ids and lines of analyze()'s files for clones: a parsed file's own tokens, comments left out by its grammar; of the others those of their code lines."""
+    parsed = analyzed.where("ids IS NOT NULL").select("path", "ids", F.col("token_lines").alias("lines"))
+    return parsed.unionByName(token_arrays(analyzed.where("ids IS NULL AND tier = 2")))
+
+
 def name_by_cell(functions: DataFrame, cells: DataFrame) -> DataFrame:
-    """Names of functions in a notebook with the number of their cell; cells(path, line, cell)."""
-    return functions.join(cells.select("path", F.col("line").alias("start_line"), "cell"), ["path", "start_line"], "left").withColumn("name", F.concat("name", F.lit(" (cell "), F.coalesce(F.col("cell").cast("string"), F.lit("?")), F.lit(")"))).drop("cell")
+    """functions(path, start_line, name) with the number of the notebook's cell in the name; cells(path, line, cell). Functions of other files stay."""
+    named = functions.join(cells.select("path", F.col("line").alias("start_line"), "cell"), ["path", "start_line"], "left")
+    return named.withColumn("name", F.when(F.col("cell").isNull(), F.col("name")).otherwise(F.concat("name", F.lit(" (cell "), F.col("cell").cast("string"), F.lit(")")))).drop("cell")
+
+
+def rename_in_notebooks(analyzed: DataFrame, cells: DataFrame) -> DataFrame:
+    """analyze()'s files where functions of notebooks have their cell's number in the name; cells(path, line, cell)."""
+    by_line = cells.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line", "cell"))).alias("__cells"))
+    named = F.transform("functions", lambda f: f.withField("name", F.coalesce(F.concat(f["name"], F.lit(" (cell "), F.try_element_at("__cells", f["start_line"]).cast("string"), F.lit(")")), f["name"])))
+    joined = analyzed.join(by_line, "path", "left")
+    return joined.withColumn("functions", F.when(F.col("__cells").isNull(), F.col("functions")).otherwise(named)).drop("__cells").select(*analyzed.columns)

@@ -79,7 +79,9 @@ def todo_rows(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    return generic.tokens(document_files(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("token").alias("distinct_tokens"))
+    """A file is a row, so its tokens are counted in the row: nothing is shuffled."""
+    lists = generic.token_lists(document_files(spark, sf_dir)).where(F.size("words") > 0)
+    return lists.select("path", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words.token")).cast("long").alias("distinct_tokens"))
 
 
 def fnv_token_ids(spark, sf_dir):
@@ -89,10 +91,13 @@ def fnv_token_ids(spark, sf_dir):
 
 def vocabulary_halstead(spark, sf_dir):
     """Volume, difficulty, effort and maintainability of each document, words and numbers being operands."""
-    t = generic.tokens(document_files(spark, sf_dir)).withColumn("operand", F.col("token").rlike("^[A-Za-z0-9_$]"))
-    h = t.groupBy("path").agg(
-        F.count_distinct(F.when(~F.col("operand"), F.col("token"))).alias("distinct_operators"), F.count_distinct(F.when(F.col("operand"), F.col("token"))).alias("distinct_operands"),
-        F.count_if(~F.col("operand")).alias("total_operators"), F.count_if("operand").alias("total_operands"), F.count_distinct("line").alias("sloc"),
+    lists = generic.token_lists(document_files(spark, sf_dir)).where(F.size("words") > 0)
+    operand = lambda t: t.rlike("^[A-Za-z0-9_$]")
+    long = lambda c: c.cast("long")
+    t = lists.select("path", F.filter("words.token", operand).alias("operands"), F.filter("words.token", lambda t: ~operand(t)).alias("operators"), F.size(F.array_distinct("words.line")).alias("sloc"))
+    h = t.select(
+        "path", long(F.size(F.array_distinct("operators"))).alias("distinct_operators"), long(F.size(F.array_distinct("operands"))).alias("distinct_operands"),
+        long(F.size("operators")).alias("total_operators"), long(F.size("operands")).alias("total_operands"), long(F.col("sloc")).alias("sloc"),
     )
     n = F.col("distinct_operators") + F.col("distinct_operands")
     volume = F.when(n > 1, (F.col("total_operators") + F.col("total_operands")) * F.log2(n)).otherwise(F.lit(0.0))
@@ -224,7 +229,19 @@ def log_height(spark, sf_dir):
 def layout_floors(spark, sf_dir):
     mart = file_mart(spark, sf_dir).withColumn("path", F.regexp_replace("path", "^src1", "src1/deep/er"))
     placed = ranking.place_blocks(ranking.floors(mart))
-    return placed.groupBy("floor").agg(F.count(F.lit(1)).alias("files"), F.max("row").alias("last_row"), F.round(F.max("side"), 9).alias("side"))
+    return placed.groupBy("floor").agg(
+        F.count(F.lit(1)).alias("files"), F.max("row").alias("last_row"), F.round(F.max("side"), 9).alias("side"), F.round(F.sum("width"), 6).alias("width"), F.round(F.sum("height"), 6).alias("height"),
+        F.sum(F.col("row") * 1000 + F.col("column")).alias("places"),
+    )
+
+
+LAYOUT_SQL = SCORES_SQL + """, cuts AS (SELECT quantile_cont(sloc, 1/3) AS c1, quantile_cont(sloc, 2/3) AS c2, max(debt_minutes) AS most FROM scores),
+f AS (SELECT regexp_replace(path, '^src1', 'src1/deep/er') AS path, sloc, debt_minutes AS debt, most, (sloc < c1)::INT + (sloc < c2)::INT AS floor FROM scores, cuts),
+r AS (SELECT *, count(*) OVER (PARTITION BY floor) AS n, row_number() OVER (PARTITION BY floor ORDER BY sloc DESC, path) - 1 AS k, max(sloc) OVER (PARTITION BY floor) AS top FROM f),
+g AS (SELECT *, ceil(sqrt(n))::BIGINT AS cols, pow(0.74, floor) AS side FROM r),
+w AS (SELECT *, k // cols AS row, CASE WHEN (k // cols) % 2 = 0 THEN k % cols ELSE cols - 1 - k % cols END AS col, side / cols * (0.62 + 0.34 * sqrt(sloc / greatest(top, 1))) AS width,
+    (CASE WHEN most <= 0 THEN 0.55 WHEN debt <= 0 THEN 0 ELSE ln(1 + debt) / ln(1 + most) END) * side / cols AS tall FROM g)
+SELECT floor, count(*) AS files, max(row)::INT AS last_row, round(max(side), 9) AS side, round(sum(width), 6) AS width, round(sum(least(tall, width * 1.6)), 6) AS height, sum(row * 1000 + col)::BIGINT AS places FROM w GROUP BY floor"""
 
 
 def worst_files(spark, sf_dir):
@@ -272,7 +289,7 @@ QUERIES = {
     "panel_findings": (panel_findings, f"WITH {FINDINGS_SQL}, r AS (SELECT path, rule_id, line, row_number() OVER (PARTITION BY path ORDER BY list_position(['critical', 'major', 'minor', 'info'], severity), line, rule_id)::INT AS rank FROM findings) SELECT * FROM r WHERE rank <= 3"),
     "worst_line": (worst_line, f"WITH {FINDINGS_SQL} SELECT path, arg_max(line, debt_minutes * 1000000 - line) AS line FROM findings GROUP BY path"),
     "log_height": (log_height, f"WITH {SCORES_SQL} SELECT path, CASE WHEN max(debt_minutes) OVER () <= 0 THEN 0.55 WHEN debt_minutes <= 0 THEN 0 ELSE ln(1 + debt_minutes) / ln(1 + max(debt_minutes) OVER ()) END AS height FROM scores"),
-    "layout_floors": (layout_floors, None),
+    "layout_floors": (layout_floors, f"WITH {LAYOUT_SQL}"),
     "worst_file": (worst_files, f"WITH {SCORES_SQL} SELECT path, debt_minutes AS debt, grade FROM scores ORDER BY debt_minutes DESC, path LIMIT 1"),
     "severity_share": (severity_share, f"WITH {FINDINGS_SQL} SELECT severity, count(*) AS n, floor(100 * count(*) / sum(count(*)) OVER () + 0.5)::BIGINT AS percent FROM findings GROUP BY severity"),
     "finding_details": (finding_details, f"WITH {FINDINGS_SQL} SELECT path, rule_id, line, CASE rule_id {_NAMES} END AS name, {_CATEGORY} AS category, {_DEBT_TEXT.replace('m ', 'debt_minutes ')} AS debt_text FROM findings"),

@@ -58,9 +58,7 @@ def history_delta(spark, sf_dir):
 
 
 def history_sparkline(spark, sf_dir):
-    """Points of the coordinate lists: how many, and whether each has one decimal."""
-    lines = history.sparkline(event_samples(spark, sf_dir), 100, 20)
-    return lines.select("key", F.size(F.split("points", " ")).alias("points"), F.split(F.element_at(F.split("points", " "), 1), ",")[0].alias("first_x"))
+    return history.sparkline(event_samples(spark, sf_dir), 100, 20)
 
 
 def trend_captions(spark, sf_dir):
@@ -91,12 +89,12 @@ def generated_code(spark, sf_dir):
     return d.select(F.concat(F.lit("gen/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language_key"), text.alias("text"))
 
 
-def _structured(spark, sf_dir):
+def structured(spark, sf_dir):
     return rollups.score_files(rules.evaluate(structure.analyze(routing.route(generated_code(spark, sf_dir)))))
 
 
 def structural_metrics(spark, sf_dir):
-    functions = _structured(spark, sf_dir).select("path", "tier", F.explode_outer("functions").alias("f")).where("f IS NOT NULL")
+    functions = structured(spark, sf_dir).select("path", "tier", F.explode_outer("functions").alias("f")).where("f IS NOT NULL")
     return functions.select("path", "tier", "f.name", "f.kind", "f.params", "f.cyclomatic", "f.cognitive", "f.max_nesting", "f.sloc")
 
 
@@ -104,7 +102,7 @@ STRUCTURE_SQL = "g AS (SELECT doc_id, (doc_id % 5)::INT AS n, (doc_id % 9 + 1)::
 
 
 def structural_findings(spark, sf_dir):
-    return rollups.explode_findings(_structured(spark, sf_dir)).select("path", "rule_id", "severity", "line", "debt_minutes", "symbol")
+    return rollups.explode_findings(structured(spark, sf_dir)).select("path", "rule_id", "severity", "line", "debt_minutes", "symbol")
 
 
 STRUCTURE_FINDINGS_SQL = STRUCTURE_SQL + """, found AS (SELECT path, 'CQ004' AS rule_id, 'major' AS severity, 0 AS line, (15 + 5 * (p - 7))::BIGINT AS debt_minutes, 'f' || doc_id AS symbol FROM g WHERE p > 7
@@ -112,13 +110,13 @@ STRUCTURE_FINDINGS_SQL = STRUCTURE_SQL + """, found AS (SELECT path, 'CQ004' AS
 
 
 def symbols_left_join(spark, sf_dir):
-    files = _structured(spark, sf_dir)
+    files = structured(spark, sf_dir)
     functions = files.select("path", F.explode_outer("functions").alias("f")).where("f IS NOT NULL").select("path", "f.name", "f.start_line", "f.sloc")
     return rollups.symbols(functions, rollups.explode_findings(files)).select("path", "name", "sloc", "n_findings", "debt_minutes", "debt_ratio", "score", "grade")
 
 
 def panel_symbols(spark, sf_dir):
-    files = _structured(spark, sf_dir)
+    files = structured(spark, sf_dir)
     functions = files.select("path", F.explode_outer("functions").alias("f")).where("f IS NOT NULL").select("path", "f.name", "f.start_line", "f.sloc")
     ranked = ranking.panel_symbols(rollups.symbols(functions, rollups.explode_findings(files)))
     return ranked.select("path", "name", "rank")
@@ -145,7 +143,8 @@ QUERIES = {
     "history_ring_buffer": (history_ring_buffer, f"WITH {EVENTS_SQL} SELECT key, t, score FROM samples QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC) <= 5"),
     "history_compact": (history_compact, f"WITH {ROLLED_SQL} SELECT * FROM rolled QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC) <= {history.MOST_SAMPLES}"),
     "history_delta": (history_delta, f"WITH {EVENTS_SQL}, {_DELTA} SELECT * FROM delta"),
-    "history_sparkline": (history_sparkline, f"WITH {EVENTS_SQL} SELECT key, CASE WHEN count(*) < 2 THEN 1 ELSE count(*) END::INT AS points, CASE WHEN count(*) < 2 THEN '' ELSE '0.0' END AS first_x FROM samples GROUP BY key"),
+    "history_sparkline": (history_sparkline, f"""WITH {EVENTS_SQL}, p AS (SELECT key, t, score, min(t) OVER w AS t0, greatest(1, max(t) OVER w - min(t) OVER w) AS span FROM samples WINDOW w AS (PARTITION BY key))
+        SELECT key, CASE WHEN count(*) < 2 THEN '' ELSE string_agg(printf('%.1f', (t - t0) / span * 100) || ',' || printf('%.1f', 20 - greatest(0, least(100, score)) / 100 * 20), ' ' ORDER BY t) END AS points FROM p GROUP BY key"""),
     "trend_captions": (trend_captions, f"WITH {EVENTS_SQL}, {_DELTA} SELECT key, {_CAPTION} AS caption FROM delta"),
     "hierarchy_scores": (hierarchy_scores, f"WITH {HIERARCHY_SQL} SELECT folder, debt_minutes, sloc, debt_ratio, score, grade FROM ({_SCORED.format('SELECT folder, sum(debt_minutes)::BIGINT AS debt_minutes, sum(sloc)::BIGINT AS sloc FROM g GROUP BY folder')})"),
     "structural_metrics": (structural_metrics, f"WITH {STRUCTURE_SQL} SELECT path, 1 AS tier, 'f' || doc_id AS name, 'function' AS kind, p AS params, 1 + n AS cyclomatic, (n * (n + 1) // 2)::INT AS cognitive, n AS max_nesting, n + 2 AS sloc FROM g"),

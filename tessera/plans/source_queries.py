@@ -101,10 +101,34 @@ def removed_markers(spark, sf_dir):
     return d.select("p_partkey", rewrites.remove_marker(F.col("line")).alias("line"), rewrites.suppression_comment(F.col("line"), F.lit("CQ010"), "python").alias("comment"))
 
 
+#: Calls with strings, escapes, nested brackets, comments and open quotes.
+_LINE = """CASE p_partkey % 5 WHEN 0 THEN concat('    call(', chr(39), p_name, chr(39), ', second_argument, third)')
+    WHEN 1 THEN concat('  f([a, b], "x, ', chr(92), '" y", ', p_name, ', {k: 1, l: 2}, end) # one, two') WHEN 2 THEN concat('g(', p_name, ', `open, ', p_type, ', rest')
+    WHEN 3 THEN concat(chr(9), 'hh(', p_brand, '), (', p_name, ',', p_type, ', 12345678) // (a, b, c)') ELSE concat('(', p_name, ', aa, bb / cc, dd,, eeeeeeeeee, ff, gg)') END"""
+
+
 def split_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("    call('"), "p_name", F.lit("', second_argument, third)")).alias("line"))
-    return d.select("p_partkey", rewrites.split_long_line(F.col("line")).alias("line"))
+    """Where a line may be split, and the line in two."""
+    d = table(spark, sf_dir, "part").select("p_partkey", F.expr(_LINE).alias("line"))
+    return d.select("p_partkey", F.coalesce(rewrites.split_point(F.col("line")), F.lit(-1)).alias("at"), rewrites.split_long_line(F.col("line")).alias("line"))
+
+
+_P = rewrites.LEXEMES.replace("'", "''")
+
+
+def split_ctes(lines: str) -> str:
+    """SQL of tables up to ``halves``(id, line, place, two) over the rows id and line of a query: where each may be split, and the line in two."""
+    return f"""l AS ({lines}),
+x AS (SELECT id, line, unnest(regexp_extract_all(line, '{_P}')) AS x, unnest(range(len(regexp_extract_all(line, '{_P}')))) AS k FROM l),
+o AS (SELECT *, coalesce(sum(length(x)) OVER w, 0)::BIGINT AS place, coalesce(sum(CASE WHEN x IN ('(', '[', '{{') THEN 1 WHEN x IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER w, 0) AS depth,
+    regexp_matches(x, '^["''`]') AND (length(x) = 1 OR left(x, 1) <> right(x, 1)) AS bad FROM x WINDOW w AS (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT id, line, length(line) / 2 AS half, list(place ORDER BY k) FILTER (x = ',' AND depth = 1) AS commas, bool_or(bad) AS bad FROM o GROUP BY id, line),
+b AS (SELECT *, list_reduce([-1::BIGINT] || coalesce(commas, []), lambda b, i: CASE WHEN b < 0 OR abs(i - half) < abs(b - half) THEN i + 1 ELSE b END) AS best FROM c),
+s AS (SELECT id, line, CASE WHEN NOT bad AND best >= {rewrites.LEAST_HEAD} AND length(line) - best >= {rewrites.LEAST_TAIL} THEN best END AS place FROM b),
+halves AS (SELECT *, CASE WHEN place IS NULL THEN line ELSE rtrim(left(line, place)) || chr(10) || regexp_extract(line, '^\\s*') || '  ' || ltrim(substr(line, place + 1)) END AS two FROM s)"""
+
 
+SPLIT_SQL = f"""WITH {split_ctes(f'SELECT p_partkey AS id, {_LINE} AS line FROM part')} SELECT id AS p_partkey, coalesce(place, -1)::INT AS "at", two AS line FROM halves"""
 
 QUERIES = {
     "notebook_cells": (notebook_cells, NOTEBOOK_SQL),
@@ -123,5 +147,5 @@ QUERIES = {
         SELECT path, rule_id, level, start_line, (c + 1)::INT AS start_column, (greatest(e, c) + 1)::INT AS end_column, (right(rule_id, 3)::INT - 1) AS rule_index FROM s"""),
     "diagnostics": (diagnostics, f"WITH {FINDINGS_SQL} SELECT CASE WHEN severity IN ('critical', 'major') THEN 'Warning' WHEN severity = 'minor' THEN 'Information' ELSE 'Hint' END AS level, count(*) AS n FROM findings GROUP BY 1"),
     "removed_markers": (removed_markers, "SELECT p_partkey, '  x = 1  # ' || p_name || ' FIXME ok' AS line, '  # tessera-disable-next-line CQ010' AS comment FROM part"),
-    "split_lines": (split_lines, None),
+    "split_lines": (split_lines, SPLIT_SQL),
 }

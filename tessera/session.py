@@ -1,10 +1,14 @@
-"""A session for local use; on a cluster the caller brings its own."""
+"""A session for local use, on a cluster the caller brings its own; and tables kept between jobs."""
 
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: str = "*", partitions: int | None = None) -> SparkSession:
@@ -13,3 +17,45 @@ def session(cores: str = "*", partitions: int | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]").appName("tessera").config("spark.sql.shuffle.partitions", n).config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").getOrCreate()
     )
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that all executors share; its lineage ends there.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process a
+    temporary one is made. A cluster must name a folder that all executors share.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+LIVE, BACKGROUND = "live", "background"
+
+
+@contextmanager
+def lane(spark: SparkSession, name: str = BACKGROUND, group: str = "scan") -> Iterator[None]:
+    """Jobs started inside run in one of two lanes, in a group that cancel_background() can end.
+
+    With ``spark.scheduler.mode`` FAIR, and the live pool given a larger weight in the allocation file, live jobs don't
+    wait for a scan that is under way; with FIFO the lane only names the group.
+    """
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.scheduler.pool")
+    context.setLocalProperty("spark.scheduler.pool", name)
+    context.setJobGroup(f"{name}:{group}", f"{name} {group}", interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.scheduler.pool", before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cancel_background(spark: SparkSession, group: str = "scan") -> None:
+    """Drop the background jobs of a group; live ones go on."""
+    spark.sparkContext.cancelJobGroup(f"{BACKGROUND}:{group}")

@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass, field, fields
 
 from tessera.functions.scoring import GRADE_ORDER
-from tessera.operators.rules import Thresholds
+from tessera.operators.rules import Thresholds, merge_thresholds
 
 FILE_NAME, PACKAGE_KEY = "tessera.toml", "tessera"
 #: Names in settings files, without regard to case, and the fields they set.
@@ -109,10 +109,10 @@ def validate(tables: dict[str, dict], problems: list[str]) -> ProjectConfig:
                 problems.append("minGrade must be a grade from A to E")
         ratio = g.get("maxdebtratio")
         if ratio is not None:
-            if number(ratio) and ratio >= 0:
+            if number(ratio) and 0 <= ratio <= 100:
                 gate.max_debt_ratio = float(ratio)
             else:
-                problems.append("maxDebtRatio must be a number of at least 0")
+                problems.append("maxDebtRatio must be a number from 0 to 100")
         fail = g.get("failon")
         if fail is not None:
             ids = [str(x).upper() for x in fail] if isinstance(fail, list) else []
@@ -151,6 +151,33 @@ def load_config(root: str) -> ProjectConfig:
     return ProjectConfig()
 
 
+class ConfigWatch:
+    """Settings of a folder that are read anew when their file changes."""
+
+    def __init__(self, root: str):
+        self.root, self._seen = root, self._state()
+        self.config = load_config(root)
+
+    def _state(self) -> list[tuple[str, int, int]]:
+        found = []
+        for name in (FILE_NAME, "package.json"):
+            try:
+                s = os.stat(os.path.join(self.root, name))
+                found.append((name, s.st_mtime_ns, s.st_size))
+            except OSError:
+                continue
+        return found
+
+    def poll(self) -> bool:
+        """Whether the limits have changed since the last look, so that rules must run again; other settings are just taken over."""
+        state = self._state()
+        if state == self._seen:
+            return False
+        before, self._seen = self.config.thresholds, state
+        self.config = load_config(self.root)
+        return self.config.thresholds != before
+
+
 def write_starter(root: str) -> str:
     """A settings file to begin with; refuses to overwrite one."""
     path = os.path.join(root, FILE_NAME)
@@ -161,13 +188,20 @@ def write_starter(root: str) -> str:
 
 @dataclass
 class LiveSettings:
-    """Settings of a running session, clamped to their ranges."""
+    """Settings of a running session, clamped to their ranges; ``limits`` has the limits that were set by hand, which come before the project's."""
 
     live_delay_ms: int = 300
     max_symbols: int = 300
     max_file_kb: int = 1024
+    limits: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.live_delay_ms = min(5000, max(50, self.live_delay_ms))
         self.max_symbols = max(1, self.max_symbols)
         self.max_file_kb = max(1, self.max_file_kb)
+        if "duplication_tokens" in self.limits:
+            self.limits = self.limits | {"duplication_tokens": max(20, self.limits["duplication_tokens"])}
+
+    def thresholds(self, project: ProjectConfig) -> tuple[Thresholds, dict[str, str]]:
+        """Limits in force, and where each comes from."""
+        return merge_thresholds(self.limits, project.thresholds)

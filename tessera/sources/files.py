@@ -15,7 +15,17 @@ from tessera.operators.languages import NOT_SOURCE, SPECIAL_NAMES, extension_map
 from tessera.operators.routing import ignore_regexes
 
 # Folders that hold no own source, and the marks of a binary file.
-DEFAULT_EXCLUDES = "node_modules .git .hg .svn dist build out target vendor venv .venv env __pycache__ .tox .mypy_cache .pytest_cache coverage .next .nuxt .gradle .idea .vscode bin obj Pods .dart_tool bower_components third_party".split()
+DEFAULT_EXCLUDES = [
+    "node_modules", ".git", ".hg", ".svn", "dist", "build", "out", "target", "vendor", "venv",
+    ".venv", "env", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "coverage", ".next", ".nuxt", ".gradle",
+    ".idea", ".vscode", "bin", "obj", "Pods", ".dart_tool", "bower_components", "third_party",
+]
+# The same for a workspace of several folders.
+WORKSPACE_EXCLUDES = [
+    "node_modules", ".git", "venv", ".venv", "env", "__pycache__", "dist", "build", "out", "target",
+    "bin", "obj", ".next", ".nuxt", "vendor", "Pods", ".gradle", ".idea", ".vscode-test", "coverage",
+    ".dart_tool", "_build", "deps", ".mypy_cache", ".pytest_cache", ".tox", "site-packages", ".terraform",
+]
 PROBE_BYTES = 8192
 MOST_IGNORE_FILES = 2000
 
@@ -84,6 +94,15 @@ def list_files(root: str, excludes: tuple[str, ...] = (), extra_extensions: tupl
     return sorted(out, key=lambda x: x[1])
 
 
+def list_roots(roots: list[str], excludes: tuple[str, ...] = (), extra_extensions: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
+    """The same for a workspace: each folder has its own ignore files, and paths begin with its name where there are several."""
+    out = []
+    for root in roots:
+        name = os.path.basename(os.path.abspath(root))
+        out += [(full, f"{name}/{path}" if len(roots) > 1 else path, key) for full, path, key in list_files(root, excludes, extra_extensions, tuple(WORKSPACE_EXCLUDES))]
+    return sorted(out, key=lambda x: x[1])
+
+
 def read_files(spark: SparkSession, listed: list[tuple[str, str, str]], max_kb: int = 1024) -> DataFrame:
     """path, language_key, text and skip_reason of listed files. The folder must be one that all executors see.
 

@@ -73,9 +73,12 @@ def test_globs_and_ignores(spark):
 
 
 def test_rewrites(spark):
-    assert rewrites.split_point('    foo(aaaaaaa, "x, y", bbbbbbbbb)') is not None
-    assert rewrites.split_point("a, b, c, d, e, f, g, h, i, j") is None
-    assert rewrites.split_point('foo("aaaaaaaaaaaaaaaa, bbbbbbbbbbbbbbbbb)') is None
+    lines = {
+        '    foo(aaaaaaa, "x, y", bbbbbbbbb)': 16, "a, b, c, d, e, f, g, h, i, j": None, 'foo("aaaaaaaaaaaaaaaa, bbbbbbbbbbbbbbbbb)': None, "foo(aaaaaaaaaa, bbbbbbbbbb, `open": None, "foo(aaaaaaaaaa, bbbbbbbbbb # x, y)": 15, "foo(aaaaaaaaaa, 'it\\'s, so', bbbbbbbbbb)": 15,
+        "foo(a / b, [cccc, dddd], eeeeeee, f)": 24, "// foo(aaaaaaaaaa, bbbbbbbbbbbb)": None, "foo(a, bbbbbbbbbbbbbbbbbbbbbbbb)": None, "": None, None: None, "(" + "x" * 20 + ",," + "y" * 20 + ")": 22, "a" * 30 + "\\": None, "(é😀aaaaaaaaaa, bbbbbbbbb)": 14,
+    }
+    got = spark.createDataFrame([(x,) for x in lines], "l string").select("l", rewrites.split_point(F.col("l")).alias("at"))
+    assert {r["l"]: r["at"] for r in got.collect()} == lines
     line = 'x = foo(aaaaaaaaa, bbbbbbbbb)  # todo: fix'
     r = spark.createDataFrame([(line,)], "l string").select(rewrites.remove_marker(F.col("l")), rewrites.split_long_line(F.col("l")), rewrites.suppression_comment(F.lit("  x"), F.lit("CQ010"), "lua")).first()
     assert list(r) == ["x = foo(aaaaaaaaa, bbbbbbbbb)  # fix", "x = foo(aaaaaaaaa,\n  bbbbbbbbb)  # todo: fix", "  -- tessera-disable-next-line CQ010"]
