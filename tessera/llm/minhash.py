@@ -222,12 +222,14 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
     buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     buckets = durable(buckets)  # a join with an aggregate's output that stands beside it in one stage isn't split where skewed
     members = durable(placed.join(buckets, "bucket").select("bucket", "rep", "n", "pivot"))
+    free(docs.sparkSession)
     pivots = members.where("rep = pivot").select("bucket", F.col("n").alias("pn"))
     near = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
     tested = durable(members.where("rep > pivot").join(pivots, "bucket").where(near).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct())
     wanted = members.select("rep").distinct()
     sets = durable(full_sets(named.join(wanted, named["doc_id"] == wanted["rep"], "left_semi"), width).dropDuplicates(["rep"]))
     edges = durable(_verified(tested, sets, percent))
+    free(docs.sparkSession)
     labels = durable(connected_components(edges))
     free(docs.sparkSession)
 
@@ -248,7 +250,9 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
         """Open members with their labels, of buckets where these differ, and the bucket's size."""
         state = open_members.join(labels, open_members["rep"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
         apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
-        return durable(state.join(durable(apart), "bucket"))
+        out = durable(state.join(durable(apart), "bucket"))
+        free(docs.sparkSession)
+        return out
 
     def across(state: DataFrame, drawn: Column) -> DataFrame:
         """Pairs of a drawn member and one of another component that can still be similar enough, each in the first bucket that both are in, and once."""
