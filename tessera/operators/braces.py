@@ -1,4 +1,4 @@
-"""Structural measurements of languages with braces, and of three whose blocks are words, by a scanner over tokens.
+"""Structural measurements of languages with braces, and of four whose blocks are words, by a scanner over tokens.
 
 It stands in for full grammars: functions are a name, a parameter list and a block; control flow is read from keywords.
 Macros, unusual layouts and code that doesn't balance are measured as far as they can be read.
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from tessera.functions.text import MARKERS
 
-LANGUAGES = ("c", "cpp", "c_sharp", "dart", "go", "java", "javascript", "typescript", "tsx", "kotlin", "objc", "php", "rust", "scala", "solidity", "swift", "zig")
+LANGUAGES = ("c", "cpp", "c_sharp", "dart", "go", "java", "javascript", "typescript", "tsx", "kotlin", "objc", "php", "rescript", "rust", "scala", "solidity", "swift", "zig")
 
 _LEX = re.compile(
     r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|'(?:[^'\\\n]|\\.)*')|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$@][\w$]*)"""
@@ -23,6 +23,9 @@ _RUST_LIFETIME = re.compile(r"'(?=[a-z_]\w*\b(?!'))")
 LOOPS = frozenset(["for", "while", "foreach"])
 #: Words for multi-way branches and endless loops that are names elsewhere.
 SWITCHES = {"rust": {"match"}, "scala": {"match"}, "kotlin": {"when"}, "go": {"switch", "select"}, "php": {"switch", "match"}}
+#: Languages whose branches are patterns with an arrow, and patterns that take all that is left.
+ARMS = frozenset(["rust", "scala", "kotlin", "zig", "rescript", "elixir"])
+REST = frozenset(["_", "else", "true"])
 OWN_LOOPS = {"rust": {"loop"}}
 CLASSES = frozenset(["class", "struct", "interface", "enum", "trait", "impl", "object", "contract", "union", "record", "extension", "protocol", "library"])
 NAMED = frozenset(["function", "func", "fn", "fun", "def"])
@@ -209,7 +212,7 @@ class BraceFile:
                 i = self._unit(i, *found, unit, "method" if cls is not None else "function", cls)
                 continue
             if self._is(i, "=>") and self._is(i + 1, "{"):
-                i = self._unit(i, self._given(i), i, i + 1, unit, "lambda", None)
+                i = self._unit(i, self._given(i), i, i + 1, unit, "function" if self.language == "rescript" else "lambda", None)
                 continue
             i += 1
 
@@ -246,7 +249,7 @@ class BraceFile:
         """Over a condition: in brackets, or up to the block."""
         if self._is(i, "("):
             close = self.close[i]
-            if self.language not in ("go", "rust", "swift") or self._is(close + 1, "{"):
+            if self.language not in ("go", "rust", "swift", "rescript") or self._is(close + 1, "{"):
                 self._expression(i + 1, close, u, level, depth)
                 return close + 1
         j = i
@@ -290,7 +293,7 @@ class BraceFile:
             u.cognitive += 1
         j = i
         while j < end and not self._is(j, ";", "}"):
-            if self._is(j, "{"):
+            if self._is(j, "{") or (self.language == "rescript" and j > i and self._is(j, "|")):
                 break
             if j > i and self.code[j].kind == "name" and self.code[j].text in self.loops | {"if", "catch", "do", "try"} and self.code[j].row > self.code[j - 1].row:
                 break
@@ -323,11 +326,11 @@ class BraceFile:
 
     def _cases(self, at: int, u: Unit, level: int, depth: int) -> None:
         i, end = at + 1, self.close[at]
-        arms = self.language in ("rust", "scala", "kotlin", "zig")
+        arms = self.language in ARMS
         while i < end:
             if arms and self._is(i, "=>", "->"):
                 before = self.code[i - 1].text
-                u.cyclomatic += before not in ("_", "else")
+                u.cyclomatic += before not in (REST if self.language == "elixir" else REST - {"true"})
                 i += 1
             elif not arms and self._is(i, "case"):
                 u.cyclomatic += 1
@@ -337,7 +340,10 @@ class BraceFile:
             elif not arms and self._is(i, "default") or (arms and self._is(i, "case", ",")):
                 i += 1
             elif arms and not any(self._is(k, "=>", "->") for k in (i,)) and self._arm_head(i, end):
-                i = self._arm_head(i, end) or i + 1
+                head = self._arm_head(i, end) or i + 1
+                if self.language in ("elixir", "rescript"):  # conditions and guards
+                    self._expression(i, head, u, level, depth)
+                i = head
             else:
                 i = self._statement(i, end, u, level, depth)
 
@@ -403,9 +409,9 @@ class BraceFile:
         return out
 
 
-_WORD_COMMENTS = {"lua": r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*", "ruby": r"(?<![$\w])\#[^\n]*", "bash": r"(?<![$\w{])\#[^\n]*"}
+_WORD_COMMENTS = {"elixir": r"\#[^\n]*", "lua": r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*", "ruby": r"(?<![$\w])\#[^\n]*", "bash": r"(?<![$\w{])\#[^\n]*"}
 _WORD_LEX = {
-    k: re.compile(rf"""(?P<comment>{c})|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$@][\w$]*[?!]?)|(?P<op>&&|\|\||=>|->|;;|[=!<>~]=|[^\s\w])""", re.S)
+    k: re.compile(rf"""(?P<comment>{c})|(?P<string>\"{{3}}.*?\"{{3}}|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$@][\w$]*[?!]?)|(?P<op>&&|\|\||=>|->|;;|[=!<>~]=|[^\s\w])""", re.S)
     for k, c in _WORD_COMMENTS.items()
 }
 
@@ -430,7 +436,11 @@ class KeywordFile(BraceFile):
                 waiting = ""
             depth += t.kind == "op" and (t.text in "([") - (t.text in ")]")
             word = t.text if t.kind == "name" else ""
-            if word == "and" or word == "or":
+            if self.language == "elixir" and new_line and depth == 0 and out and not self._joins(code, k):
+                made(";")
+            if self.language == "elixir" and word in ("do", "else", "rescue", "catch", "after") and k + 1 < len(code) and code[k + 1].text == ":":
+                out.append(t)
+            elif word == "and" or word == "or":
                 made("&&" if word == "and" else "||")
             elif word in ("end", "fi", "done", "esac") and not (word == "end" and self.language == "bash") and not (word != "end" and self.language != "bash"):
                 made("}")
@@ -441,10 +451,14 @@ class KeywordFile(BraceFile):
             elif word == "else" and out and out[-1].text != "}":
                 made("}", "else", "{")
             elif word in ("then", "do") and not (self.language == "ruby" and word == "do" and waiting != "{"):
+                if self.language == "elixir" and len(out) > 1 and out[-2].text == "def":  # no parameters
+                    made("(", ")")
                 made("{" if waiting != ":" else ":")
                 waiting = ""
             elif self.language == "lua":
                 self._lua(t, word, out, made)
+            elif self.language == "elixir":
+                self._elixir(t, word, out, made)
             elif self.language == "bash":
                 if word == "case" and new_line:
                     made("switch")
@@ -462,6 +476,29 @@ class KeywordFile(BraceFile):
                 waiting = self._ruby(t, word, new_line, waiting, out, made)
         self.code = out
 
+    @staticmethod
+    def _joins(code: list[Token], k: int) -> bool:
+        """Whether the line that begins at token k goes on with the statement before."""
+        return code[k - 1].text in (",", "->", "=", "|", "&&", "||", "and", "or") or code[k].text in ("|", ")", "]", "}", "&&", "||", "and", "or")
+
+    def _elixir(self, t: Token, word: str, out: list[Token], made) -> None:
+        if word in ("def", "defp", "defmacro", "defmacrop"):
+            made("def")
+        elif word == "defmodule":
+            made("class")
+        elif word in ("cond", "case", "receive"):
+            made("switch")
+        elif word == "unless":
+            made("if")
+        elif word == "fn":
+            made("=>", "{")
+        elif word in ("rescue", "catch"):
+            made("}", "catch", "{")
+        elif word == "after":
+            made("}", "finally", "{")
+        else:
+            out.append(t)
+
     def _lua(self, t: Token, word: str, out: list[Token], made) -> None:
         if word == "repeat":
             made("do", "{")

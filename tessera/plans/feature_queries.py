@@ -38,6 +38,7 @@ SYNTAXES = {
     "c": Syntax(), "cpp": Syntax("int Box::{}(int a, int b) const {{"), "c_sharp": Syntax("public int {}(int a, int b)\n{{"), "dart": Syntax(), "go": Syntax("func (s *Box) {}(a, b int) int {{", **{**_BARE, "loop": "for a < b {"}),
     "java": Syntax("static int {}(int a, Map<K, V> b) throws E {{"), "javascript": Syntax("function {}(a, b = pair(1, 2)) {{"), "typescript": Syntax("export function {}(a: number, b?: string): number {{"), "tsx": Syntax("function {}(a: number, b: number): number {{"),
     "kotlin": Syntax("fun {}(a: Int, b: Int): Int {{"), "objc": Syntax("static int {}(int a, int b) {{"), "php": Syntax("function {}($a, $b) {{", "while ($a < $b) {", "if ($a > 1 && $b > 1) {", "} elseif ($a > 2) {", plain="if ($a < 0) {", call="step($a);"),
+    "rescript": Syntax("let {} = (a, b) => {{", **_BARE),
     "rust": Syntax("fn {}(a: i32, b: &'a str) -> i32 {{", **_BARE), "scala": Syntax("def {}(a: Int, b: Int): Int = {{"), "solidity": Syntax("function {}(uint a, uint b) public returns (uint) {{"), "swift": Syntax("func {}(a: Int, _ b: Int) -> Int {{", **_BARE),
     "zig": Syntax("fn {}(a: i32, b: i32) i32 {{", both="if (a > 1 and b > 1) {"),
     "lua": Syntax("function {}(a, b)", "while a < b do", "if a > 1 and b > 1 then", "elseif a > 2 then", "else", "if a < 0 then", "step(a)", "end", "end"),

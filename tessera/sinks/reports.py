@@ -16,6 +16,11 @@ from tessera.operators.ranking import TABLE_ROWS, squarify
 from tessera.operators.rules import RULES
 
 HTML_DETAILS = 50
+# Colours of grades in reports, and a set that can be told apart without full colour vision.
+GRADE_COLORS = {"A": "#2e9d6a", "B": "#7cb342", "C": "#d9a92e", "D": "#e07b35", "E": "#d14545"}
+COLOR_BLIND = {"A": "#0072b2", "B": "#56b4e9", "C": "#f0e442", "D": "#e69f00", "E": "#d55e00"}
+# Fixed value: characters that stay as they are in a path within a report, beside letters, digits and _.-~
+URI_SAFE = "/;,?:@&=+$!*'()#"
 _LEVELS = {"critical": "warning", "major": "warning", "minor": "note", "info": "note"}
 
 
@@ -45,7 +50,7 @@ def write_sarif(findings: DataFrame, path: str, version: str) -> None:
         f.write(json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": "tessera", "version": version, "rules": rules}) + '}, "results": [')
         for n, r in enumerate(sarif_results(findings).orderBy("path", "start_line", "rule_id").toLocalIterator()):
             region = {"startLine": r["start_line"], "startColumn": r["start_column"], "endLine": r["end_line"], "endColumn": r["end_column"]}
-            f.write((",\n" if n else "\n") + json.dumps({"ruleId": r["rule_id"], "ruleIndex": r["rule_index"], "level": r["level"], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": quote(r["path"])}, "region": region}}]}))
+            f.write((",\n" if n else "\n") + json.dumps({"ruleId": r["rule_id"], "ruleIndex": r["rule_index"], "level": r["level"], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": quote(r["path"], safe=URI_SAFE), "uriBaseId": "SRCROOT"}, "region": region}}]}))
         f.write("\n]}]}\n")
 
 
@@ -86,17 +91,18 @@ def treemap(folders: list[tuple[str, int]], width: int = 960, height: int = 420)
 
 def _rows(df: DataFrame, *columns: str) -> Iterator[str]:
     for r in df.toLocalIterator():
-        yield "<tr>" + "".join(f"<td>{escape(str(r[c]))}</td>" for c in columns) + "</tr>"
+        yield f"<tr class='{escape(str(r['grade']))}'>" + "".join(f"<td>{escape(str(r[c]))}</td>" for c in columns) + "</tr>"
 
 
-def write_html(files: DataFrame, summary: DataFrame, categories: DataFrame, folders: DataFrame, path: str) -> None:
+def write_html(files: DataFrame, summary: DataFrame, categories: DataFrame, folders: DataFrame, path: str, colors: dict[str, str] = GRADE_COLORS) -> None:
     """A page without outside parts: summary, categories in per cent, folders, all files by debt, and findings of the worst."""
     ranked = files.where("tier <> 3").orderBy(F.desc("debt_minutes"), "path")
     c = categories.first().asDict()
     total = max(1, sum(c.values()))
     tops = [(r["folder"], r["sloc"]) for r in folders.where(~F.contains("folder", F.lit("/"))).orderBy(F.desc("sloc")).limit(200).collect()]
     with open(path, "w", encoding="utf-8") as f:
-        f.write(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Quality report</title></head><body><h1>{escape(summary_line(summary))}</h1><ul>")
+        style = "".join(f".{g}{{border-left:4px solid {c}}}" for g, c in colors.items())
+        f.write(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Quality report</title><style>{style}</style></head><body><h1>{escape(summary_line(summary))}</h1><ul>")
         f.write("".join(f"<li>{k}: {int(100 * v / total + 0.5)}%</li>" for k, v in c.items()) + f"</ul>{treemap(tops)}<table>")
         for row in _rows(ranked.select("grade", "score", "sloc", format_debt(F.col("debt_minutes")).alias("debt"), "path"), "grade", "score", "sloc", "debt", "path"):
             f.write(row)
@@ -105,6 +111,3 @@ def write_html(files: DataFrame, summary: DataFrame, categories: DataFrame, fold
             f.write(f"<details><summary>{escape(r['path'])}</summary><ul>" + "".join(f"<li>{x['rule_id']} line {x['line'] + 1}: {escape(x['message'])}</li>" for x in r["findings"]) + "</ul></details>")
         f.write("</body></html>\n")
 
-
-def uri(path: Column) -> Column:
-    return F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/"))

@@ -61,3 +61,12 @@ def watch(versions: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events by type and window, late ones up to ``late`` included; works on streams and tables."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+
+
+def progress(query: StreamingQuery) -> dict[str, int | float | None]:
+    """How far a stream is: its last batch, that batch's rows and seconds, and rows a second; None before the first."""
+    last = query.lastProgress
+    if last is None:
+        return {"batch": None, "rows": None, "seconds": None, "rows_per_second": None}
+    spent = last["durationMs"].get("triggerExecution", 0) / 1000
+    return {"batch": last["batchId"], "rows": last["numInputRows"], "seconds": spent, "rows_per_second": last["numInputRows"] / spent if spent else 0.0}

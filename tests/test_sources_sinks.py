@@ -80,6 +80,7 @@ def test_stream(spark, tmp_path):
     q = incremental.watch(stream, lambda batch, n: seen.extend((r["path"], r["text"]) for r in batch.collect()), str(tmp_path / "ck"), once=True)
     assert q.awaitTermination(60)
     assert sorted(seen) == [("a", "z"), ("b", "q")]
+    assert (incremental.progress(q)["batch"], incremental.progress(q)["rows"]) == (0, 4)
 
 
 def test_scan(spark, tmp_path, capsys):
@@ -95,6 +96,7 @@ def test_scan(spark, tmp_path, capsys):
     sarif = json.loads((tmp_path / "tessera-report.sarif").read_text())["runs"][0]
     assert sarif["results"]
     assert all(sarif["tool"]["driver"]["rules"][r["ruleIndex"]]["id"] == r["ruleId"] for r in sarif["results"])
+    assert "class='A'" in (tmp_path / "tessera-report.html").read_text()
     assert "<svg" in (tmp_path / "tessera-report.html").read_text()
     assert cli.scan(spark, root, min_grade="A", quiet=True) in (0, 1)
 
