@@ -17,8 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (node, label): label is the smallest node reachable. Nodes without an edge don't appear.
 
     Both star steps are a minimum for each node, combined before the shuffle, and a join that brings it back, so a hub
-    with a third of all edges costs no task more than its share: the aggregate is partial and kept, so the join is one
-    that AQE splits. Loops and nulls are dropped, repeated edges count once, no edges give an empty table. The number of rounds
+    with a third of all edges meets in one task only as far as its own edges go: two numbers each, and the aggregate is partial. Loops and nulls are dropped, repeated edges count once, no edges give an empty table. The number of rounds
     grows with the logarithm of the longest path; each round's edges are kept durably, so a lost executor repeats
     one round at most.
     """
@@ -27,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()

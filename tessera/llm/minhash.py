@@ -26,6 +26,7 @@ SMALL = 8
 FIRST_SHARE = 64
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 16
+_SKETCH = [f"sketch{i}" for i in range(SKETCH)]
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -136,7 +137,7 @@ def parity_sketches(h: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """rep (the doc_id), the array of its shingles, sorted as signed numbers, and its sketch."""
+    """rep (the doc_id), the array of its shingles, sorted as signed numbers, and its sketch, a column for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,10 +145,10 @@ def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
             for a, b in chunks(offsets):
                 h, per = shingle_sets(offsets[a : b + 1], data, width)
                 ends = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
-                sketches = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SKETCH), pa.array(parity_sketches(h, per).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array((h ^ np.uint64(1 << 63)).view(np.int64))), sketches], names=["rep", "shingles", "sketch"])
+                sketches = map(pa.array, np.ascontiguousarray(parity_sketches(h, per).T))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array((h ^ np.uint64(1 << 63)).view(np.int64))), *sketches], names=["rep", "shingles", *_SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"rep {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"rep {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,15 +177,15 @@ def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     Shingles of one component only can't link two; they come first in the order and are left out; m is
     the number of the others, the most that the set can share with one of another component.
     """
-    named = sets.join(labels, sets["rep"] == labels["node"], "left").select("rep", F.size("shingles").cast("long").alias("n"), F.coalesce("label", "rep").alias("label"), "shingles", "sketch")
+    named = sets.join(labels, sets["rep"] == labels["node"], "left").select("rep", F.size("shingles").cast("long").alias("n"), F.coalesce("label", "rep").alias("label"), "shingles")
     flat = named.select("rep", "n", "label", F.explode("shingles").alias("bucket"))
     shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "f")
-    ordered = flat.join(durable(shared), "bucket").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "bucket"))).alias("s"))
+    ordered = flat.join(shared, "bucket").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "bucket"))).alias("s"))
     least = F.expr(f"(n * {percent} + 99) div 100")
     length = (F.col("n") - least + 1) - (F.col("n") - F.size("s"))
     keys = F.transform(F.slice("s", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda x: x["bucket"])
     prefixes = ordered.where(length > 0).select("rep", "n", F.size("s").cast("long").alias("m"), keys.alias("keys"))
-    return prefixes.join(sets.select("rep", "sketch"), "rep").withColumn("bucket", F.explode("keys"))
+    return prefixes.join(sets.select("rep", *_SKETCH), "rep").withColumn("bucket", F.explode("keys"))
 
 
 def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -242,20 +243,21 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
         if not found.isEmpty():
             edges = edges.union(found)
             labels = durable(connected_components(edges))
+        free(docs.sparkSession)
 
     def mixed(open_members: DataFrame) -> DataFrame:
         """Open members with their labels, of buckets where these differ, and the bucket's size."""
         state = open_members.join(labels, open_members["rep"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
         apart = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
-        return durable(state.join(durable(apart), "bucket"))
+        return durable(state.join(apart, "bucket"))
 
     def across(state: DataFrame, drawn: Column) -> DataFrame:
         """Pairs of a drawn member and one of another component that can still be similar enough, each in the first bucket that both are in, and once."""
         marked = state.withColumn("drawn", drawn)
-        left = marked.where("drawn").select("bucket", F.col("rep").alias("x"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("xl"), F.col("keys").alias("pkeys"), F.col("sketch").alias("psketch"))
+        left = marked.where("drawn").select("bucket", F.col("rep").alias("x"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("xl"), F.col("keys").alias("pkeys"), *(F.col(c).alias(f"p{c}") for c in _SKETCH))
         enough = f"{100 + percent} * least(m, pm) >= {percent} * (n + pn)"
         first = "try_element_at(array_intersect(keys, pkeys), 1) = bucket"
-        differ = " + ".join(f"bit_count(sketch[{i}] ^ psketch[{i}])" for i in range(SKETCH))
+        differ = " + ".join(f"bit_count({c} ^ p{c})" for c in _SKETCH)
         close = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + pn)"
         return marked.join(left, "bucket").where(f"label <> xl AND (NOT drawn OR rep > x) AND {enough} AND {close} AND {first}").select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v"))
 
@@ -263,7 +265,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
     small = state.where(F.col("size") <= SMALL)
     hot = durable(state.where(F.col("size") > SMALL).select("rep").distinct())
     # small buckets only: a pair that shares a large one is found by its prefixes
-    shared = small.groupBy("rep").agg(F.array_sort(F.collect_set("bucket")).alias("keys")).join(sets.select("rep", "sketch"), "rep")
+    shared = small.groupBy("rep").agg(F.array_sort(F.collect_set("bucket")).alias("keys")).join(sets.select("rep", *_SKETCH), "rep")
     compare(across(small.join(shared, "rep"), F.lit(True)))
     open_members, share = durable(_prefixes(sets.join(hot, "rep"), labels, percent)), FIRST_SHARE
     while True:
