@@ -22,8 +22,8 @@ ONE_MISS_IN = 100_000
 MOST_VALUES = 400
 #: Buckets of up to so many members are compared all with all, where their members aren't in one component.
 SMALL = 8
-#: Members of a larger bucket that the first round draws.
-FIRST_SHARE = 64
+#: Members of a bucket of prefixes up to which all are compared in the first round, and members that it draws of a larger one.
+ALL_AT_ONCE, FIRST_SHARE = 4096, 64
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 16
 _SKETCH = [f"sketch{i}" for i in range(SKETCH)]
@@ -153,22 +153,11 @@ def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs(u, v), those whose full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (ao, a), (bo, b) = ((x.offsets.to_numpy(), x.values.to_numpy()) for x in (batch.column(2), batch.column(3)))
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = a[ao[i] : ao[i + 1]], b[bo[i] : bo[i + 1]]
-                both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
-
-    kind = pairs.schema["u"].dataType.simpleString()
-    sort = F.col("shingles").alias("s")
-    left = pairs.join(sets.select(F.col("rep").alias("u"), sort), "u").withColumnRenamed("s", "a")
-    both = left.join(sets.select(F.col("rep").alias("v"), sort), "v").select("u", "v", "a", F.col("s").alias("b"))
-    return both.mapInArrow(run, f"u {kind}, v {kind}")
+    shingles = F.col("shingles").alias("s")
+    left = pairs.join(sets.select(F.col("rep").alias("u"), shingles), "u").withColumnRenamed("s", "a")
+    both = left.join(sets.select(F.col("rep").alias("v"), shingles), "v")
+    counted = both.select("u", "v", F.size("a").cast("long").alias("m"), F.size("s").cast("long").alias("n"), F.size(F.array_intersect("a", "s")).cast("long").alias("common"))
+    return counted.where(f"100 * common >= {percent} * (m + n - common)").select("u", "v")
 
 
 def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +193,8 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
        exact buckets, by prefixes: of a set of n shingles, ordered with the rarest first, the first
        n - ceil(percent * n / 100) + 1; two sets that are similar enough share one of these. A common passage is at the
        end of that order.
-    4. Buckets of prefixes whose members are in different components are compared in rounds. A round draws a share of
+    4. Buckets of prefixes whose members are in different components are compared in rounds, the larger ones (from
+       ALL_AT_ONCE members) little by little, as links found early spare comparisons. A round draws a share of
        the members that haven't been compared yet, sixteen times as many as the round before, and compares them with the
        members of other components; a bucket is done when its open members lie in one component. So no link is lost.
        Of these pairs, only those go to the full sets whose parity sketches differ in no more bits than two sets that
@@ -272,7 +262,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, width: int =
         state = mixed(open_members)
         if state.isEmpty():
             break
-        drawn = (F.col("size") <= share) | (F.pmod(F.xxhash64("rep", F.lit(share)), F.col("size")) < share)
+        drawn = (F.col("size") <= max(share, ALL_AT_ONCE)) | (F.pmod(F.xxhash64("rep", F.lit(share)), F.col("size")) < share)
         compare(across(state, drawn))
         open_members = state.where(~drawn).drop("label", "size")
         share *= 16

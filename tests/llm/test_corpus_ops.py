@@ -112,6 +112,7 @@ def near_rows():
 def test_near_duplicates(spark, small, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "FIRST_SHARE", small)
+    monkeypatch.setattr(minhash, "ALL_AT_ONCE", 4096 if small == 8 else 0)
     rows = near_rows()
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
