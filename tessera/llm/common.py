@@ -20,8 +20,6 @@ CHUNK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 _RNG = np.random.RandomState(20240607)
 #: A random 64-bit value for each byte.
 BYTE_VALUE = (_RNG.randint(0, 1 << 32, 256, dtype=np.uint64) << np.uint64(32)) | _RNG.randint(0, 1 << 32, 256, dtype=np.uint64)
@@ -52,8 +50,7 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that all executors share; its lineage ends there.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process a
-    temporary one is made. A cluster must name a folder that all executors share. Shuffle files of the work so far are
-    removed when it is done: nothing reads them again.
+    temporary one is made. A cluster must name a folder that all executors share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -62,17 +59,11 @@ def durable(df: DataFrame) -> DataFrame:
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # holds for the plan that select() makes, and for no other
-    try:
-        whole = df.select("*")
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return whole.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def free(spark: SparkSession) -> None:
-    """Let go of kept tables that nothing refers to any more; Spark removes their files when the driver's objects are collected."""
+    """Let go of shuffle files and kept tables that nothing refers to any more; Spark removes their files when the driver's objects are collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
