@@ -155,7 +155,8 @@ class ConfigWatch:
     """Settings of a folder that are read anew when their file changes."""
 
     def __init__(self, root: str):
-        self.root, self._seen = root, self._state()
+        self.root = root
+        self._seen = self._state()
         self.config = load_config(root)
 
     def _state(self) -> list[tuple[str, int, int]]:
