@@ -114,6 +114,15 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
+def spread_texts(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts in a row with a blank after each, so that nothing runs from one into the next; and where each text, blank included, ends."""
+    n = len(offsets) - 1
+    body = data[offsets[0] : offsets[-1]]
+    out = np.full(len(body) + n, 32, np.uint8)
+    out[np.arange(len(body)) + np.repeat(np.arange(n), np.diff(offsets))] = body
+    return out, offsets[1:] - offsets[0] + np.arange(1, n + 1)
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows with at most so many bytes together; a longer text is a run of its own."""
     at, n = 0, len(offsets) - 1
