@@ -329,7 +329,10 @@ def _best(rows: DataFrame, top: int) -> DataFrame:
 def _search_block(docs: DataFrame, items: DataFrame, top: int) -> DataFrame | None:
     """iid, rank, doc_id and score for the queries of one block; None if nothing can be found."""
     context = docs.sparkSession.sparkContext
-    own = Queries(items.select("iid", "terms").collect())  # QUERY_TERMS terms, or one query with more
+    rows = items.select("iid", "terms").collect()  # some QUERY_TERMS terms, or one query with more
+    if not rows:
+        return None
+    own = Queries(rows)
     held = durable(postings(docs, context.broadcast(own)))
     whole = held.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("l")).first()
     if not whole["n"]:
