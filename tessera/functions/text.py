@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The metrics are defined over these patterns.
@@ -10,8 +12,8 @@ LINE_END = r"\r?\n"
 TOKEN = r"""[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+(?:\.[0-9]+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"""
 MARKERS = ("TODO", "FIXME", "HACK", "XXX")
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
-#: White space around lines, beyond ASCII.
-_SPACE = r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space around lines: ASCII's and that beyond, character by character.
+_SPACE = " \t\n\x0b\f\r\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def lines_of(text: Column) -> Column:
@@ -20,7 +22,7 @@ def lines_of(text: Column) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(line, F.lit(_SPACE))
 
 
 def starts_with_any(line: Column, prefixes: Column) -> Column:
@@ -29,7 +31,7 @@ def starts_with_any(line: Column, prefixes: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
 
 
 def half_up(x: Column) -> Column:
@@ -37,6 +39,17 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns computed once for each row, whatever is asked of them later.
+
+    They pass through a generator of one row. Filters on a column are otherwise pushed below the projection that makes it,
+    with the whole of its expression in them, and what several columns share is made anew for each.
+    """
+    held = F.explode_outer(F.array(F.struct(*(F.col(f"`{n}`") for n in names)))).alias("__settled")
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*rest, held).select(*(F.col(f"__settled.`{c}`") if c in names else F.col(f"`{c}`") for c in df.columns))
+
+
 def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
@@ -52,12 +65,17 @@ def indent_width(line: Column) -> Column:
     return F.length(F.replace(F.regexp_extract(line, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
 
 
+def _holds_any(line: Column, words: tuple[str, ...]) -> Column:
+    """Cheaper than a pattern, and before it: most lines hold none."""
+    return reduce(Column.__or__, (F.contains(line, F.lit(w)) for w in words))
+
+
 def marker_of(line: Column, markers: tuple[str, ...] = MARKERS, cap: int = 120) -> Column:
     """The first marker of the line and what follows it, at most ``cap`` characters; null without one."""
     # look-arounds keep the word borders ASCII
     pattern = rf"(?<![A-Za-z0-9_])({'|'.join(markers)})(?![A-Za-z0-9_])[:\s-]*(.*)"
     text = F.concat(F.regexp_extract(line, pattern, 1), F.lit(" "), F.regexp_extract(line, pattern, 2))
-    return F.when(line.rlike(pattern), F.substring(trimmed(text), 1, cap))
+    return F.when(_holds_any(line, markers) & line.rlike(pattern), F.substring(trimmed(text), 1, cap))
 
 
 def marker_column(line: Column, markers: tuple[str, ...] = MARKERS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import LINE_END, MARKERS, TOKEN, indent_width, lines_of, marker_column, marker_of, starts_with_any, trimmed, utf16_length
+from tessera.functions.text import LINE_END, MARKERS, TOKEN, indent_width, lines_of, marker_column, marker_of, settled, starts_with_any, trimmed, utf16_length
 from tessera.operators.languages import NO_INDENT_NESTING, comment_prefixes, plain_name
 
 DIRECTIVE_PREFIX = "tessera"
@@ -69,12 +69,24 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_END, -1)).alias("line", "raw")).withColumn("trimmed", trimmed(F.col("raw")))
 
 
+def code_lines(files: DataFrame) -> DataFrame:
+    """path and ``code``, an array of line and raw text of the lines that are neither blank nor comments. Rows are independent."""
+    df = files.select("path", comment_prefixes(F.col("language_key")).alias("__p"), lines_of(F.coalesce("text", F.lit(""))).alias("__l"))
+    entry = lambda l, i: F.struct(i.cast("int").alias("line"), l.alias("raw"), trimmed(l).alias("t"))  # noqa: E731, E741
+    return df.select("path", F.filter(F.transform("__l", entry), lambda x: (x["t"] != "") & ~starts_with_any(x["t"], F.col("__p"))).alias("code"))
+
+
 def token_lists(files: DataFrame) -> DataFrame:
     """path and ``words``, an array of line and token over the code lines of each file. Rows are independent."""
-    prefixes = comment_prefixes(F.col("language_key"))
-    df = files.select("path", prefixes.alias("__p"), lines_of(F.coalesce("text", F.lit(""))).alias("__l"))
-    per_line = F.transform("__l", lambda l, i: F.when((trimmed(l) == "") | starts_with_any(trimmed(l), F.col("__p")), F.expr("cast(array() as array<struct<line:int,token:string>>)")).otherwise(F.transform(F.regexp_extract_all(l, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(i.cast("int").alias("line"), t.alias("token")))))  # noqa: E741
-    return df.select("path", F.flatten(per_line).alias("words"))
+    per_line = F.transform("code", lambda x: F.transform(F.regexp_extract_all(x["raw"], F.lit(TOKEN), F.lit(0)), lambda t: F.struct(x["line"].alias("line"), t.alias("token"))))
+    return settled(code_lines(files).select("path", F.flatten(per_line).alias("words")), "words")
+
+
+def token_bags(files: DataFrame) -> DataFrame:
+    """path, ``words`` (the tokens of the code lines) and ``sloc``, where lines don't matter: tokens don't cross line ends, so one pass over the joined lines finds them all."""
+    df = code_lines(files)
+    words = F.regexp_extract_all(F.array_join(F.transform("code", lambda x: x["raw"]), "\n"), F.lit(TOKEN), F.lit(0))
+    return settled(settled(df, "code").select("path", words.alias("words"), F.size("code").cast("long").alias("sloc")), "words", "sloc")
 
 
 def tokens(files: DataFrame) -> DataFrame:

@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import GRADE_ORDER, format_debt, score_columns
-from tessera.functions.text import half_up
+from tessera.functions.text import half_up, settled
 from tessera.operators.languages import display_name
 from tessera.operators.routing import counts_toward_score
-from tessera.operators.rules import CATEGORIES, SEVERITIES, category_of
+from tessera.operators.rules import CATEGORIES, SEVERITIES, Thresholds, category_of, total_debt
 
 
 def score_files(analysis: DataFrame) -> DataFrame:
-    """analysis(findings, sloc) with debt_minutes, debt_ratio, score and grade."""
+    """analysis(findings, sloc) with debt_minutes, debt_ratio, score and grade. Findings are computed once a row, whatever filters follow."""
+    analysis = settled(analysis, "findings")
     debt = F.aggregate("findings", F.lit(0).cast("long"), lambda a, f: a + f["debt_minutes"])
     return analysis.withColumn("debt_minutes", debt).withColumns(score_columns(F.col("debt_minutes"), F.col("sloc")))
 
 
+def score_measured(analysis: DataFrame, t: Thresholds = Thresholds(), blocks: str | None = None) -> DataFrame:  # noqa: B008
+    """The same scores from measurements alone, for lists and sums that show no findings: none are made. Without suppressions."""
+    df = settled(analysis.withColumn("debt_minutes", total_debt(analysis, t, blocks)), "debt_minutes", "sloc")
+    return df.withColumns(score_columns(F.col("debt_minutes"), F.col("sloc")))
+
+
 def _scored(df: DataFrame) -> DataFrame:
     return df.withColumns(score_columns(F.col("debt_minutes"), F.col("sloc")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,19 +91,64 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def function_findings(f: Column, t: Thresholds) -> Column:
-    """Findings of one function (a struct of its metrics), as an array."""
-    name, at = f["name"], dict(line=f["start_line"], symbol=f["name"], col=f["start_col"], end_col=f["start_col"] + F.greatest(F.lit(1), F.length(f["name"])))
-    over = [
+def _over(f: Column, t: Thresholds) -> list[tuple]:
+    """Rule, value, limit, minutes for what is over it, and name, of the five limits of a function."""
+    return [
         ("CQ001", f["cyclomatic"], t.cyclomatic, lambda x: 10 + x, "cyclomatic complexity"),
         ("CQ002", f["cognitive"], t.cognitive, lambda x: 10 + x, "cognitive complexity"),
         ("CQ003", f["sloc"], t.function_length, lambda x: 20 + F.ceil(x / 5), "lines of code"),
         ("CQ004", f["params"], t.parameters, lambda x: 15 + 5 * x, "parameters"),
         ("CQ005", f["max_nesting"], t.nesting, lambda x: 10 * x, "levels of nesting"),
     ]
-    found = [F.when(v > limit, _finding(rule, _severity(v, limit), _text("'", name, "': ", v, f" {what}, limit {limit}"), debt=debt(v - limit), value=v, threshold=limit, **at)) for rule, v, limit, debt, what in over]
+
+
+def _maintenance_debt(f: Column, t: Thresholds) -> Column:
+    """Minutes for a function that is hard to maintain; null where it isn't, or is short."""
+    return F.when((f["mi"] < t.maintainability_warning) & (f["sloc"] >= 5), F.when(f["mi"] < t.maintainability_critical, 30).otherwise(15))
+
+
+def _class_debt(c: Column, t: Thresholds) -> Column:
+    return 30 + 2 * (c["methods"] - t.class_methods)
+
+
+def _nesting_debt(n: Column, t: Thresholds) -> Column:
+    """Minutes for indentation in a file that no parser has seen; null within the limit."""
+    return F.when((F.col("tier") == 2) & (n["depth"] > t.nesting), 10 * (n["depth"] - t.nesting))
+
+
+def _length_debt(lines: Column, t: Thresholds) -> Column:
+    return F.when(lines > t.file_length, 60 + F.ceil((lines - t.file_length) / 100) * 10)
+
+
+def _block_debt(b: Column) -> Column:
+    return 10 + F.floor((b["end_line"] - b["start_line"] + 1) / 5 + 0.5)
+
+
+def total_debt(analysis: DataFrame, t: Thresholds = Thresholds(), blocks: str | None = None) -> Column:  # noqa: B008
+    """The minutes of all findings that evaluate() would make of a row, without making them."""
+    columns = set(analysis.columns)
+    zero = F.lit(0).cast("long")
+    total = lambda items, one: F.coalesce(F.aggregate(items, zero, lambda a, x: a + F.coalesce(one(x).cast("long"), zero)), zero)
+    parts = [F.coalesce(_length_debt(F.col("lines"), t).cast("long"), zero), F.size(F.filter("line_lengths", lambda n: n > t.line_length)).cast("long")]
+    if "functions" in columns:
+        of_function = lambda f: reduce(Column.__add__, (F.when(v > limit, debt(v - limit).cast("long")).otherwise(zero) for _, v, limit, debt, _ in _over(f, t))) + F.coalesce(_maintenance_debt(f, t).cast("long"), zero)
+        parts.append(total("functions", of_function))
+    if "classes" in columns:
+        parts.append(total("classes", lambda c: F.when(c["methods"] > t.class_methods, _class_debt(c, t))))
+    if "indent_nesting" in columns:
+        parts.append(F.coalesce(_nesting_debt(F.col("indent_nesting"), t).cast("long"), zero))
+    if blocks:
+        parts.append(total(blocks, _block_debt))
+    return F.when(F.col("tier") == 3, zero).otherwise(reduce(Column.__add__, parts))
+
+
+def function_findings(f: Column, t: Thresholds) -> Column:
+    """Findings of one function (a struct of its metrics), as an array."""
+    name, at = f["name"], dict(line=f["start_line"], symbol=f["name"], col=f["start_col"], end_col=f["start_col"] + F.greatest(F.lit(1), F.length(f["name"])))
+    found = [F.when(v > limit, _finding(rule, _severity(v, limit), _text("'", name, "': ", v, f" {what}, limit {limit}"), debt=debt(v - limit), value=v, threshold=limit, **at)) for rule, v, limit, debt, what in _over(f, t)]
     low = f["mi"] < t.maintainability_critical
-    found.append(F.when((f["mi"] < t.maintainability_warning) & (f["sloc"] >= 5), _finding("CQ008", F.when(low, "critical").otherwise("major"), _text("'", name, "': maintainability index ", F.format_number(f["mi"], 1)), debt=F.when(low, 30).otherwise(15), value=f["mi"], threshold=t.maintainability_warning, **at)))
+    debt = _maintenance_debt(f, t)
+    found.append(F.when(debt.isNotNull(), _finding("CQ008", F.when(low, "critical").otherwise("major"), _text("'", name, "': maintainability index ", F.format_number(f["mi"], 1)), debt=debt, value=f["mi"], threshold=t.maintainability_warning, **at)))
     return F.array_compact(F.array(*found))
 
 
@@ -120,12 +166,13 @@ def evaluate(analysis: DataFrame, t: Thresholds = Thresholds(), blocks: str | No
         parts.append(F.flatten(F.transform("functions", lambda f: function_findings(f, t))))
     if "classes" in columns:
         c_over = F.filter("classes", lambda c: c["methods"] > t.class_methods)
-        parts.append(F.transform(c_over, lambda c: _finding("CQ009", _severity(c["methods"], t.class_methods), _text("'", c["name"], "': ", c["methods"], f" methods, limit {t.class_methods}"), c["start_line"], 30 + 2 * (c["methods"] - t.class_methods), c["methods"], t.class_methods, c["name"], c["start_col"], c["start_col"] + F.length(c["name"]))))
+        parts.append(F.transform(c_over, lambda c: _finding("CQ009", _severity(c["methods"], t.class_methods), _text("'", c["name"], "': ", c["methods"], f" methods, limit {t.class_methods}"), c["start_line"], _class_debt(c, t), c["methods"], t.class_methods, c["name"], c["start_col"], c["start_col"] + F.length(c["name"]))))
     if "indent_nesting" in columns:
         n = F.col("indent_nesting")
-        parts.append(F.when((F.col("tier") == 2) & (n["depth"] > t.nesting), F.array(_finding("CQ005", _severity(n["depth"], t.nesting), _text("nesting of about ", n["depth"], f" by indentation, limit {t.nesting}"), n["line"], 10 * (n["depth"] - t.nesting), n["depth"], t.nesting, end_col=length(n["line"])))))
+        debt = _nesting_debt(n, t)
+        parts.append(F.when(debt.isNotNull(), F.array(_finding("CQ005", _severity(n["depth"], t.nesting), _text("nesting of about ", n["depth"], f" by indentation, limit {t.nesting}"), n["line"], debt, n["depth"], t.nesting, end_col=length(n["line"])))))
     lines = F.col("lines")
-    parts.append(F.when(lines > t.file_length, F.array(_finding("CQ006", _severity(lines, t.file_length), _text(lines, f" lines, limit {t.file_length}"), F.lit(0), 60 + F.ceil((lines - t.file_length) / 100) * 10, lines, t.file_length, end_col=length(F.lit(0))))))
+    parts.append(F.when(lines > t.file_length, F.array(_finding("CQ006", _severity(lines, t.file_length), _text(lines, f" lines, limit {t.file_length}"), F.lit(0), _length_debt(lines, t), lines, t.file_length, end_col=length(F.lit(0))))))
     long = F.filter(F.transform("line_lengths", lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda x: x["n"] > t.line_length)
     one = lambda x: _finding("CQ010", F.lit("minor"), _text(x["n"], f" characters, limit {t.line_length}"), x["i"], F.lit(1), x["n"], t.line_length, col=F.lit(t.line_length), end_col=x["n"])
     parts.append(F.transform(F.slice(long, 1, MOST_LINES), one))
@@ -146,7 +193,7 @@ def evaluate(analysis: DataFrame, t: Thresholds = Thresholds(), blocks: str | No
 def duplication_finding(b: Column) -> Column:
     """The finding for a duplicated block: a struct of start_line, end_line, tokens, partner_path and partner_line."""
     n = b["end_line"] - b["start_line"] + 1
-    base = _finding("CQ007", F.when(n >= 50, "critical").otherwise("major"), _text(n, " lines also in ", b["partner_path"], " from line ", b["partner_line"] + 1), b["start_line"], 10 + F.floor(n / 5 + 0.5), n)
+    base = _finding("CQ007", F.when(n >= 50, "critical").otherwise("major"), _text(n, " lines also in ", b["partner_path"], " from line ", b["partner_line"] + 1), b["start_line"], _block_debt(b), n)
     return base.withField("end_line", b["end_line"].cast("int"))
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import format_debt, maintainability_index, score_columns
-from tessera.functions.text import fnv1a, marker_of, round2
+from tessera.functions.text import fnv1a, marker_of, round2, settled
 from tessera.operators import generic, ranking, rollups, routing, rules
 from tessera.plans.corpus import FILES_SQL, LINES_SQL, TOKENS_SQL, document_files, table
 
 #: Limits under which prose has findings of all sizes.
 LIMITS = rules.Thresholds(line_length=80, file_length=8)
 MARKERS = ("License", "Licensed", "Copyright")
+#: What words and numbers begin with; other tokens are operators.
+OPERAND_STARTS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$"
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.score_files(rules.evaluate(measured(spark, sf_dir), LIMITS))
 
 
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without findings, for lists and sums of scores."""
+    return rollups.score_measured(measured(spark, sf_dir), LIMITS)
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.explode_findings(scored(spark, sf_dir))
 
@@ -80,8 +87,8 @@ def todo_rows(spark, sf_dir):
 
 def token_counts(spark, sf_dir):
     """A file is a row, so its tokens are counted in the row: nothing is shuffled."""
-    lists = generic.token_lists(document_files(spark, sf_dir)).where(F.size("words") > 0)
-    return lists.select("path", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words.token")).cast("long").alias("distinct_tokens"))
+    bags = generic.token_bags(document_files(spark, sf_dir)).where(F.size("words") > 0)
+    return bags.select("path", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).cast("long").alias("distinct_tokens"))
 
 
 def fnv_token_ids(spark, sf_dir):
@@ -91,14 +98,12 @@ def fnv_token_ids(spark, sf_dir):
 
 def vocabulary_halstead(spark, sf_dir):
     """Volume, difficulty, effort and maintainability of each document, words and numbers being operands."""
-    lists = generic.token_lists(document_files(spark, sf_dir)).where(F.size("words") > 0)
-    operand = lambda t: t.rlike("^[A-Za-z0-9_$]")
+    bags = generic.token_bags(document_files(spark, sf_dir)).where(F.size("words") > 0)
+    operand = lambda t: F.contains(F.lit(OPERAND_STARTS), F.left(t, F.lit(1)))
     long = lambda c: c.cast("long")
-    t = lists.select("path", F.filter("words.token", operand).alias("operands"), F.filter("words.token", lambda t: ~operand(t)).alias("operators"), F.size(F.array_distinct("words.line")).alias("sloc"))
-    h = t.select(
-        "path", long(F.size(F.array_distinct("operators"))).alias("distinct_operators"), long(F.size(F.array_distinct("operands"))).alias("distinct_operands"),
-        long(F.size("operators")).alias("total_operators"), long(F.size("operands")).alias("total_operands"), long(F.col("sloc")).alias("sloc"),
-    )
+    t = settled(bags.select("path", F.size("words").alias("total"), F.size(F.filter("words", operand)).alias("operands"), F.array_distinct("words").alias("kinds"), "sloc"), "total", "operands", "kinds", "sloc")
+    h = settled(t.select("path", long(F.size("kinds")).alias("k"), long(F.size(F.filter("kinds", operand))).alias("distinct_operands"), long(F.col("total")).alias("n"), long(F.col("operands")).alias("total_operands"), "sloc"), "k", "distinct_operands", "n", "total_operands", "sloc")
+    h = h.select("path", (F.col("k") - F.col("distinct_operands")).alias("distinct_operators"), "distinct_operands", (F.col("n") - F.col("total_operands")).alias("total_operators"), "total_operands", "sloc")
     n = F.col("distinct_operators") + F.col("distinct_operands")
     volume = F.when(n > 1, (F.col("total_operators") + F.col("total_operands")) * F.log2(n)).otherwise(F.lit(0.0))
     difficulty = F.when(F.col("distinct_operands") > 0, F.col("distinct_operators") / 2 * F.col("total_operands") / F.col("distinct_operands")).otherwise(F.lit(0.0))
@@ -146,15 +151,15 @@ def findings_suppressed(spark, sf_dir):
 
 
 def file_scores(spark, sf_dir):
-    return scored(spark, sf_dir).select("path", "lang", "lines", "sloc", "debt_minutes", "debt_ratio", "score", "grade")
+    return scores(spark, sf_dir).select("path", "lang", "lines", "sloc", "debt_minutes", "debt_ratio", "score", "grade")
 
 
 def folder_rollup(spark, sf_dir):
-    return rollups.folder_scores(scored(spark, sf_dir))
+    return rollups.folder_scores(scores(spark, sf_dir))
 
 
 def corpus_score(spark, sf_dir):
-    return rollups.corpus_score(scored(spark, sf_dir)).withColumn("debt_text", format_debt(F.col("debt_minutes")))
+    return rollups.corpus_score(scores(spark, sf_dir)).withColumn("debt_text", format_debt(F.col("debt_minutes")))
 
 
 def debt_by_category(spark, sf_dir):
@@ -162,7 +167,7 @@ def debt_by_category(spark, sf_dir):
 
 
 def hotspots(spark, sf_dir):
-    return rollups.hotspots(scored(spark, sf_dir)).select("path", "debt_minutes", "grade")
+    return rollups.hotspots(scores(spark, sf_dir)).select("path", "debt_minutes", "grade")
 
 
 def file_mart(spark, sf_dir):
