@@ -28,11 +28,12 @@ def measure(spark: SparkSession, routed: DataFrame, folder: str | None) -> DataF
     if folder is None:
         return structure.analyze(routed)
     skipped, keyed = routed.where("tier = 3"), cache.with_key(routed.where("tier <> 3"))
-    known = cache.read(spark, folder)
+    known = cache.read(spark, folder, keyed)
     fresh = structure.analyze(keyed if known is None else cache.misses(keyed, known))
     own = ["path", "language_key", "text", "skip_reason"]
     cache.append(fresh.drop(*own), folder)
-    whole = keyed.select("content_key", *own).join(cache.read(spark, folder).dropDuplicates(["content_key"]), "content_key").drop("content_key")
+    stored = cache.read(spark, folder, keyed)
+    whole = keyed.select("content_key", *own).join(fresh.drop(*own) if stored is None else stored, "content_key").drop("content_key")
     return whole.unionByName(structure.analyze(skipped).select(*whole.columns))
 
 

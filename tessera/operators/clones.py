@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import FNV_OFFSET, FNV_PRIME, TOKEN
+from tessera.operators.hot_keys import HOT_ROWS, PIECE_ROWS, join_hot
 from tessera.operators.languages import PLAIN, UNKNOWN_COMMENTS
 from tessera.session import kept
 
@@ -118,9 +119,12 @@ def cap_occurrences(prints: DataFrame, most: int = MOST_OCCURRENCES) -> DataFram
 
 
 def seeds(prints: DataFrame, most: int = MOST_OCCURRENCES) -> DataFrame:
-    """path, pos, partner, partner_pos: each fingerprint with the kept places of an equal one elsewhere."""
-    kept = cap_occurrences(prints, most).select("hash", F.col("path").alias("partner"), F.col("pos").alias("partner_pos"))
-    return prints.join(kept, "hash").where("path <> partner OR pos <> partner_pos").select("path", "pos", "partner", "partner_pos")
+    """path, pos, partner, partner_pos: each fingerprint with the kept places of an equal one elsewhere.
+
+    A fingerprint that very many files have, as boilerplate does, is joined over several tasks.
+    """
+    places = cap_occurrences(prints, most).select("hash", F.col("path").alias("partner"), F.col("pos").alias("partner_pos"))
+    return join_hot(prints, places, "hash", "path", "pos", least=HOT_ROWS, piece=PIECE_ROWS).where("path <> partner OR pos <> partner_pos").select("path", "pos", "partner", "partner_pos")
 
 
 def clone_pairs(prints: DataFrame) -> DataFrame:

@@ -1,12 +1,19 @@
-"""Measurements kept by content: what has been measured once is not measured again."""
+"""Measurements kept by content: what has been measured once is not measured again.
+
+The cache is a table in hash buckets of the content's key. Writing a content again adds nothing, a failed write leaves
+the cache as it was, and a run reads the buckets that its own contents fall into.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.buckets import BucketStore
+
 # Fixed value: part of every key, so that a change of the measurements empties the cache.
 ENGINE_VERSION = "1.0.0"
+TABLE = "measurements"
 
 
 def with_key(files: DataFrame, version: str = ENGINE_VERSION) -> DataFrame:
@@ -22,18 +29,22 @@ def hits(files: DataFrame, kept: DataFrame) -> DataFrame:
     return files.select("path", "content_key").join(kept.dropDuplicates(["content_key"]), "content_key")
 
 
-def append(measured: DataFrame, folder: str) -> None:
-    """Adds measurements with a content_key to the cache. Each write is a set of files of its own, visible when complete."""
-    measured.dropDuplicates(["content_key"]).write.mode("append").parquet(folder)
+def store(spark: SparkSession, folder: str) -> BucketStore:
+    return BucketStore(spark, folder, {TABLE: "content_key"})
+
+
+def append(measured: DataFrame, folder: str) -> int:
+    """Adds measurements with a content_key that the cache lacks; the cache's version afterwards."""
+    return store(measured.sparkSession, folder).add(TABLE, measured)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The cache, or None where there is none yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(folder) if system.exists(path) else None
+def read(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame | None:
+    """The cache, one row for each content, or None where there is none yet; of ``wanted`` contents only the buckets that they are in."""
+    cache = store(spark, folder)
+    if not cache.version():
+        return None
+    return cache.read(TABLE, None if wanted is None else cache.touched(TABLE, wanted))
 
 
 def clear(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    store(spark, folder).clear()
