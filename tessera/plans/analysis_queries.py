@@ -232,21 +232,26 @@ def log_height(spark, sf_dir):
 
 
 def layout_floors(spark, sf_dir):
-    mart = file_mart(spark, sf_dir).withColumn("path", F.regexp_replace("path", "^src1", "src1/deep/er"))
-    placed = ranking.place_blocks(ranking.floors(mart))
-    return placed.groupBy("floor").agg(
-        F.count(F.lit(1)).alias("files"), F.max("row").alias("last_row"), F.round(F.max("side"), 9).alias("side"), F.round(F.sum("width"), 6).alias("width"), F.round(F.sum("height"), 6).alias("height"),
-        F.sum(F.col("row") * 1000 + F.col("column")).alias("places"),
-    )
-
-
-LAYOUT_SQL = SCORES_SQL + """, cuts AS (SELECT quantile_cont(sloc, 1/3) AS c1, quantile_cont(sloc, 2/3) AS c2, max(debt_minutes) AS most FROM scores),
-f AS (SELECT regexp_replace(path, '^src1', 'src1/deep/er') AS path, sloc, debt_minutes AS debt, most, (sloc < c1)::INT + (sloc < c2)::INT AS floor FROM scores, cuts),
-r AS (SELECT *, count(*) OVER (PARTITION BY floor) AS n, row_number() OVER (PARTITION BY floor ORDER BY sloc DESC, path) - 1 AS k, max(sloc) OVER (PARTITION BY floor) AS top FROM f),
-g AS (SELECT *, ceil(sqrt(n))::BIGINT AS cols, pow(0.74, floor) AS side FROM r),
-w AS (SELECT *, k // cols AS row, CASE WHEN (k // cols) % 2 = 0 THEN k % cols ELSE cols - 1 - k % cols END AS col, side / cols * (0.62 + 0.34 * sqrt(sloc / greatest(top, 1))) AS width,
-    (CASE WHEN most <= 0 THEN 0.55 WHEN debt <= 0 THEN 0 ELSE ln(1 + debt) / ln(1 + most) END) * side / cols AS tall FROM g)
-SELECT floor, count(*) AS files, max(row)::INT AS last_row, round(max(side), 9) AS side, round(sum(width), 6) AS width, round(sum(least(tall, width * 1.6)), 6) AS height, sum(row * 1000 + col)::BIGINT AS places FROM w GROUP BY floor"""
+    """Place and size of every file; files lie in two depths, so the larger one is split by folder."""
+    mart = scores(spark, sf_dir).select(F.regexp_replace("path", "^src1", "src1/deep/er").alias("path"), "sloc", F.col("debt_minutes").alias("debt"))
+    placed = ranking.place_blocks(ranking.tiers(mart))
+    return placed.select("path", "floor", "tier", "row", "column", *(F.round(c, 7).alias(c) for c in ("side", "x", "z", "width", "height")))
+
+
+LAYOUT_SQL = SCORES_SQL + """, f AS (SELECT regexp_replace(path, '^src1', 'src1/deep/er') AS path, sloc, debt_minutes AS debt FROM scores),
+t AS (SELECT *, least(dense_rank() OVER (ORDER BY len(string_split(path, '/'))) - 1, 5) AS tier, len(string_split(path, '/')) - 1 AS depth, regexp_replace(path, '/[^/]*$', '') AS folder FROM f),
+c AS (SELECT tier, count(*) AS n, count(DISTINCT folder) AS k FROM t GROUP BY tier),
+s AS (SELECT tier FROM c WHERE k > 1 AND (SELECT count(*) FROM c) < 3 ORDER BY n DESC, tier LIMIT 1),
+o AS (SELECT *, CASE WHEN tier IN (SELECT tier FROM s) THEN folder ELSE '' END AS own FROM t),
+fl AS (SELECT tier, own, min(depth) AS depth, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, tier, own) - 1)::INT AS floor FROM o GROUP BY tier, own),
+b AS (SELECT greatest(ceil(sqrt(n)), ceil(n / ceil(sqrt(n)))) + 1.1::DOUBLE AS base FROM fl WHERE floor = 0),
+p AS (SELECT base, least(least(2.2, greatest(0.85, base * 0.105)), 0.5 * base / (SELECT count(*) FROM fl)) AS pitch FROM b),
+h AS (SELECT base, greatest(0.14, pitch - least(0.26, pitch * 0.26) - 0.14 * pitch) AS tall, (SELECT greatest(1, max(sloc)) FROM f) AS wide, (SELECT greatest(0, max(debt)) FROM f) AS most FROM p),
+q AS (SELECT path, sloc, debt, floor, n, CASE WHEN own <> '' THEN own ELSE 'depth ' || fl.depth END AS name, row_number() OVER (PARTITION BY floor ORDER BY path) - 1 AS k, ceil(sqrt(n))::BIGINT AS cols FROM o JOIN fl USING (tier, own)),
+r AS (SELECT *, k // cols AS row, CASE WHEN (k // cols) % 2 = 0 THEN k % cols ELSE cols - 1 - k % cols END AS col, ceil(n / cols) AS rows, greatest(1.8, base * pow(0.74, floor)) AS side FROM q, h),
+w AS (SELECT *, greatest(0.3, least(1.35, (side - 1.1) / greatest(cols, rows))) AS fit FROM r),
+z AS (SELECT *, (0.62 + 0.34 * sqrt(sloc / wide)) * fit AS width, 0.07 + (tall - 0.07) * CASE WHEN most <= 0 THEN 0.55 WHEN debt <= 0 THEN 0 ELSE ln(1 + debt) / ln(1 + most) END AS up FROM w)
+SELECT path, floor, name AS tier, row::INT AS row, col::INT AS "column", round(side, 7) AS side, round((col - (cols - 1) / 2) * fit, 7) AS x, round((row - (rows - 1) / 2) * fit, 7) AS z, round(width, 7) AS width, round(least(up, width * 1.6), 7) AS height FROM z"""
 
 
 def worst_files(spark, sf_dir):

@@ -86,8 +86,3 @@ def test_thresholds():
 def test_layout(spark):
     boxes = ranking.squarify([6.0, 3.0, 1.0], 0, 0, 10, 10)
     assert sum(w * h for _, _, w, h in boxes) == pytest.approx(100)
-    mart = spark.createDataFrame([("a/" * (i % 4) + str(i), i + 1, i) for i in range(30)], "path string, sloc long, debt long")
-    placed = ranking.place_blocks(ranking.floors(mart)).collect()
-    assert len(placed) == 30
-    assert {r["floor"] for r in placed} == {0, 1, 2, 3}
-    assert all(r["height"] <= r["width"] * 1.6 + 1e-9 for r in placed)
