@@ -161,8 +161,15 @@ def one_edit(codes: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray
     return out
 
 
-def _candidates(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: np.ndarray, band: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (row, partner) whose masks differ in at most most[row] bits, each under the first band that is equal; row i has the partners lo[i] to hi[i]."""
+def halves(codes: np.ndarray, starts: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a first and a last part of each word, together as long as the shorter of the words it is compared with: one edit leaves one of them as it is."""
+    sums = range_sums(BYTE_VALUE[codes])
+    first = shorter // 2
+    return range_hash(sums, starts[:-1], starts[:-1] + first), range_hash(sums, starts[1:] - (shorter - first), starts[1:])
+
+
+def _candidates(mask: np.ndarray, head: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: np.ndarray, band: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, partner) whose masks differ in at most most[row] bits and which share a half, each under the first band that is equal; row i has the partners lo[i] to hi[i]."""
     low = np.uint64((1 << BAND_BITS) - 1)
 
     def first_band(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -173,19 +180,33 @@ def _candidates(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: np.ndarr
         return ok
 
     rows = np.flatnonzero(hi > lo)
-    wide = (hi - lo)[rows] >= 256
+    wide = (hi - lo)[rows] >= 64
+    few = most.astype(np.uint8)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
-    for i in rows[wide].tolist():  # long lists of partners, a row at a time
-        j = np.flatnonzero(np.bitwise_count(mask[lo[i] : hi[i]] ^ mask[i]) <= most[i])
-        if len(j):
-            found.append((np.full(len(j), i), lo[i] + j))
-            held += len(j)
+    tall = rows[wide]
+    at = 0
+    while at < len(tall):  # rows whose partners end at one place are compared with all of them at once
+        first = tall[at]
+        end, low_ = hi[first], lo[first]
+        to = min(len(tall), at + max(1, (1 << 16) // int(end - low_)))
+        other = np.flatnonzero(hi[tall[at:to]] != end)
+        to = at + int(other[0]) if len(other) else to
+        i = tall[at:to][:, None]
+        own = slice(low_, end)
+        near = np.bitwise_count(mask[own] ^ mask[i]) <= few[i]
+        near &= (head[own] == head[i]) | (tail[own] == tail[i])
+        hit = np.flatnonzero(near)
+        i, j = tall[at + hit // (end - low_)], low_ + hit % (end - low_)
+        ok = j >= lo[i]
+        found.append((i[ok], j[ok]))
+        held += len(hit)
         if held > PAIRS >> 3:
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
             ok = first_band(i, j)
             yield i[ok], j[ok]
             found, held = [], 0
+        at = to
     if found:
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         ok = first_band(i, j)
@@ -199,7 +220,7 @@ def _candidates(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: np.ndarr
         n = count[at:to]
         i = np.repeat(rows[at:to], n)
         j = np.repeat(lo[rows[at:to]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        ok = np.bitwise_count(mask[i] ^ mask[j]) <= most[i]
+        ok = (np.bitwise_count(mask[i] ^ mask[j]) <= most[i]) & ((head[i] == head[j]) | (tail[i] == tail[j]))
         i, j = i[ok], j[ok]
         ok = first_band(i, j)
         yield i[ok], j[ok]
@@ -224,7 +245,7 @@ def _compare(cells: pa.Table) -> Iterator[pa.RecordBatch]:
     apart = (tile >> 62) & 1  # of words of two lengths
     most = np.where(apart == 1, 1, 2)
     band = (key >> BAND_BITS) & 3
-    for i, j in _candidates(mask, lo, hi, most, band):
+    for i, j in _candidates(mask, *halves(codes, starts, size - apart * (side == 0)), lo, hi, most, band):
         if not len(i):
             continue
         short, long = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
