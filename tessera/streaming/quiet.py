@@ -22,22 +22,26 @@ def quiet_rows(rows: DataFrame, key: str, at: str, gap_ms: int, *ties: str) -> D
     return rows.withColumn("__next", F.lead(ms).over(w)).where(F.col("__next").isNull() | (F.col("__next") - ms >= gap_ms)).drop("__next")
 
 
-def _settled(rows: pd.DataFrame, at: str, order: list[str], gap: pd.Timedelta, until: pd.Timestamp | None) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Rows that are let out, and those that are still open: a row is decided once no row within ``gap`` of it can arrive any more."""
+def _settled(rows: pd.DataFrame, at: str, order: list[str], gap: pd.Timedelta, until: pd.Timestamp) -> tuple[pd.DataFrame, pd.DataFrame, pd.Series]:
+    """Rows that are let out, rows that are held, and when each of these is due; rows that still come are later than ``until``.
+
+    A row that nothing follows closely is let out when nothing can any more. One that is followed will never be, but is held
+    while a row before it can come that it follows closely.
+    """
     rows = rows.sort_values(order, kind="stable", ignore_index=True)
     following = rows[at].shift(-1)
     last = following.isna() | (following - rows[at] >= gap)
-    decided = pd.Series(True, rows.index) if until is None else rows[at] + gap <= until
-    # a row that another follows closely is gone whatever arrives, but the newest of each open run has to wait
-    return rows[last & decided], rows[last & ~decided]
+    due = rows[at] + last.map({True: gap, False: pd.Timedelta(0)})
+    past = due <= until
+    return rows[last & past], rows[~past], due[~past]
 
 
 def quiet_stream(rows: DataFrame, key: str, at: str, gap_ms: int, late: str = "10 seconds", ties: tuple[str, ...] = ()) -> DataFrame:
     """The same over a stream, by event time: a row comes out once the watermark is ``gap_ms`` past it and nothing has followed.
 
     The result is that of quiet_rows() over all rows that came before the watermark passed them; later ones are dropped.
-    Within the watermark rows may come in any order and in any split into batches. State holds, for each key, the open rows:
-    those that no row has followed closely, and that one still could.
+    Within the watermark rows may come in any order and in any split into batches. State holds, for each key, the rows that
+    may still be let out, and those that a row which is still to come could precede closely.
     """
     kept = StructType([f for f in rows.schema.fields if f.name != key])
     state = StructType([StructField("open", ArrayType(kept))])
@@ -50,12 +54,11 @@ def quiet_stream(rows: DataFrame, key: str, at: str, gap_ms: int, late: str = "1
         every = pd.concat([p for p in parts if len(p)], ignore_index=True)
         every[at] = pd.to_datetime(every[at])
         until = pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms")
-        out, rest = _settled(every, at, order, gap, until)
+        out, rest, due = _settled(every, at, order, gap, until)
         if len(rest):
             plain = rest.astype(object).where(rest.notna(), None)
             held.update(([tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in plain.itertuples(index=False)],))
-            due = int(rest[at].min().value // 1_000_000) + gap_ms
-            held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
+            held.setTimeoutTimestamp(max(-(-due.min().value // 1_000_000), held.getCurrentWatermarkMs() + 1))
         else:
             held.remove()
         out = out.copy()

@@ -49,9 +49,10 @@ def test_stream_equals_table(spark, tmp_path):
         random.Random(at).shuffle(part)  # any order within a batch
         slices.append(part)
         at += 40
-    slices[1][5], slices[2][5] = slices[2][5], slices[1][5]  # and some rows over batches, within the watermark
+    for k in range(0, 40, 3):  # and a third of the rows over batches, within the watermark
+        slices[0][k], slices[1][k], slices[2][k], slices[3][k] = slices[3][k], slices[2][k], slices[0][k], slices[1][k]
     end = [("clock", START + dt.timedelta(hours=h), 10_000 + h, "tick") for h in (1, 2)]
-    got = feed(spark, tmp_path, [*slices, end[:1], end[1:]], lambda s: quiet_stream(s, "path", "ts", 300, "1 minute", ("generation",)), "quiet")
+    got = feed(spark, tmp_path, [*slices, end[:1], end[1:]], lambda s: quiet_stream(s, "path", "ts", 300, "5 minutes", ("generation",)), "quiet")
     want = quiet_rows(spark.createDataFrame(rows, SCHEMA), "path", "ts", 300, "generation")
     assert rows_of(got.where("path <> 'clock'")) == rows_of(want)
     assert 0 < want.count() < len(rows)
