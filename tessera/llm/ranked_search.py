@@ -25,7 +25,7 @@ TOP = 50
 CLUSTER, CLUSTER_POSTINGS = 128, 1 << 20
 #: Documents of a block that is bisected in one piece down to clusters.
 ARRANGED = 2048
-#: Documents on which the upper levels are fitted, the most terms that such a one has, their levels, and the most weights of all their nodes.
+#: Documents on which the upper levels are fitted (about so many are drawn by hash, never twice as many), the most terms that such a one has, their levels, and the most weights of all their nodes.
 SAMPLE, SAMPLE_TERMS, LEVELS, MOST_WEIGHTS = 8192, 1000, 6, 1 << 22
 #: Rounds in which a bisection lets documents change sides.
 SWAPS = 12
@@ -219,7 +219,9 @@ def clusters_of(held: DataFrame, size: int, documents: int, words: int) -> DataF
     A share is what a term adds to a document's score for a weight of one.
     """
     some = held.where(F.size("terms") > 0)
-    sample = some.where(F.size("terms") <= SAMPLE_TERMS).orderBy(F.xxhash64("doc_id", "n"), F.size("terms")).limit(SAMPLE).select("terms").toArrow()["terms"].combine_chunks()
+    share = int((1 << 30) * min(1.0, SAMPLE / max(1, documents)))
+    drawn = some.where((F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << 30)) < share) & (F.size("terms") <= SAMPLE_TERMS))
+    sample = drawn.select("terms").limit(2 * SAMPLE).toArrow()["terms"].combine_chunks()
     if isinstance(sample, pa.ChunkedArray):
         sample = sample.chunk(0) if sample.num_chunks else pa.array([], pa.list_(pa.int32()))
     ends = np.concatenate(([0], np.cumsum([len(x) for x in sample]))).astype(np.int64)
@@ -390,7 +392,7 @@ def ranked_search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
 
     Null and empty texts, and such without a term, are no documents for N and L, and find nothing as queries. Each row of
     docs is a document, and each row of queries a query of its own. Empty tables give no rows. Other columns aren't read.
-    The upper levels of the order are fitted on SAMPLE documents; all are indexed, and results don't depend on the order.
+    The upper levels of the order are fitted on about SAMPLE documents; all are indexed, and results don't depend on the order.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
