@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import languages, rewrites, routing, rules
-from tessera.plans.analysis_queries import FINDINGS_SQL, findings
+from tessera.operators.rules import MOST_LINES
+from tessera.plans.analysis_queries import FINDINGS_SQL, LIMITS, MARKERS, findings
 from tessera.plans.corpus import FILES_SQL, document_files, page_files, table
 from tessera.sinks import reports
 from tessera.sources import cache, notebooks
 from tessera.streaming import incremental
 
 
+_MARKER = rf"\b({'|'.join(MARKERS)})\b[:\s-]*(.*)"
+
+
 def notebook_cells(spark, sf_dir):
     """Conversations as notebooks: what the assistant says is code."""
     t = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
@@ -93,7 +97,7 @@ def sarif_results(spark, sf_dir):
 
 
 def diagnostics(spark, sf_dir):
-    return reports.diagnostics(findings(spark, sf_dir)).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return reports.diagnostics(findings(spark, sf_dir)).select("path", "rule_id", "line", "level", "message")
 
 
 def removed_markers(spark, sf_dir):
@@ -145,7 +149,10 @@ QUERIES = {
         s AS (SELECT path, rule_id, CASE WHEN severity IN ('critical', 'major') THEN 'warning' ELSE 'note' END AS level, line + 1 AS start_line,
             CASE WHEN rule_id = 'CQ010' AND k <= 20 THEN 80 WHEN rule_id = 'CQ011' THEN length(before) ELSE 0 END AS c, CASE WHEN rule_id = 'CQ011' THEN length(before) + 4 ELSE n END AS e FROM p)
         SELECT path, rule_id, level, start_line, (c + 1)::INT AS start_column, (greatest(e, c) + 1)::INT AS end_column, (right(rule_id, 3)::INT - 1) AS rule_index FROM s"""),
-    "diagnostics": (diagnostics, f"WITH {FINDINGS_SQL} SELECT CASE WHEN severity IN ('critical', 'major') THEN 'Warning' WHEN severity = 'minor' THEN 'Information' ELSE 'Hint' END AS level, count(*) AS n FROM findings GROUP BY 1"),
+    "diagnostics": (diagnostics, f"""WITH {FINDINGS_SQL} SELECT f.path, rule_id, f.line, CASE WHEN severity IN ('critical', 'major') THEN 'Warning' WHEN severity = 'minor' THEN 'Information' ELSE 'Hint' END AS level,
+        CASE WHEN rule_id = 'CQ006' THEN value::BIGINT || ' lines, limit {LIMITS.file_length}' WHEN rule_id = 'CQ010' AND g.k <= {MOST_LINES} THEN value::BIGINT || ' characters, limit {LIMITS.line_length}'
+            WHEN rule_id = 'CQ010' THEN value::BIGINT || ' more lines over {LIMITS.line_length} characters' ELSE left(trim(regexp_extract(raw, '{_MARKER}', 1) || ' ' || regexp_extract(raw, '{_MARKER}', 2)), 120) END AS message
+        FROM findings f JOIN lines l ON l.path = f.path AND l.line = f.line LEFT JOIN long g ON g.path = f.path AND g.line = f.line"""),
     "removed_markers": (removed_markers, "SELECT p_partkey, '  x = 1  # ' || p_name || ' FIXME ok' AS line, '  # tessera-disable-next-line CQ010' AS comment FROM part"),
     "split_lines": (split_lines, SPLIT_SQL),
 }
