@@ -27,7 +27,7 @@ from tessera.llm.common import BASE_INVERSE, BYTE_VALUE, CHUNK_BYTES, bounded_ba
 #: Length of the repeated strings, and of the anchors within them.
 LENGTH, ANCHOR = 100, 20
 #: Bytes of a shard, for which a worker needs some 80 times as much, and bytes under one key from which these are dealt over all shards.
-SHARD_BYTES, DEALT_BYTES = 1 << 20, 1 << 16
+SHARD_BYTES, DEALT_BYTES = 1 << 20, 1 << 12
 #: Windows of dealt pieces that one task merges.
 MERGED_ROWS = 500_000
 
