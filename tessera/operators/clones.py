@@ -18,7 +18,6 @@ from tessera.session import kept
 # Bases of the two rolling hashes, and places of a fingerprint that are kept.
 BASE_1, BASE_2 = 0x01000193, 0x5BD1E995
 MOST_OCCURRENCES = 64
-_MASK = np.uint64(0xFFFFFFFF)
 
 
 def window_sizes(threshold: int) -> tuple[int, int]:
@@ -34,17 +33,30 @@ def fnv1a(word: str) -> int:
     return h
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and its inverse for i below n, modulo 2^32."""
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        steps = [np.full(max(n, 1 << 12), x, np.uint32) for x in (base, pow(base, -1, 1 << 32))]
+        for x in steps:
+            x[0] = 1
+        have = _POWERS[base] = tuple(np.cumprod(x, dtype=np.uint32) for x in steps)
+    return have[0][:n], have[1][:n]
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def kgram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """h1 * 2^21 + (h2 >> 11) for each run of k tokens, both polynomials modulo 2^32."""
+    """h1 * 2^21 + (h2 >> 11) for each run of k tokens, both polynomials modulo 2^32: each from two prefix sums."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    out = []
+    out, own = [], ids.astype(np.uint32)
     for base in (BASE_1, BASE_2):
-        h = np.zeros(n, np.uint64)
-        for j in range(k):
-            h = (h * np.uint64(base) + ids[j : j + n].astype(np.uint64)) & _MASK
-        out.append(h)
+        up, down = _powers(base, len(ids))
+        sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(own * down, dtype=np.uint32)))
+        out.append(((sums[k:] - sums[:-k]) * up[k - 1 :]).astype(np.uint64))
     return (out[0] * np.uint64(1 << 21) + (out[1] >> np.uint64(11))).astype(np.int64)
 
 
@@ -59,36 +71,41 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(np.arange(w - 1, n) - windows.argmin(1))
 
 
+_LINE_END = -1
+
+
+class _Known(dict):
+    """The hashes of words seen so far; the end of a line counts as -1."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = _LINE_END if word == "\n" else fnv1a(word)
+        return h
+
+
 def token_arrays(files: DataFrame) -> DataFrame:
     """path, ids and lines: the tokens of a file's code lines as 32-bit hashes, and the line of each.
 
     Rows are independent. A null text has no tokens.
     """
-    pattern = re.compile(TOKEN, re.ASCII)
+    pattern = re.compile(f"\n|{TOKEN}", re.ASCII)  # no token crosses a line's end
     prefixes = {k: tuple(c) for k, (_, c, _) in PLAIN.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = _Known()
         for batch in batches:
-            ids, lines = [], []
+            ids, lines = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 skip = prefixes.get(re.sub("^(tier2|notebook):", "", key or ""), tuple(UNKNOWN_COMMENTS))
-                own, at = [], []
-                for i, line in enumerate(re.split("\r?\n", text or "")):
-                    t = line.strip()
-                    if not t or t.startswith(skip):
-                        continue
-                    for word in pattern.findall(line):
-                        h = known.get(word)
-                        if h is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            h = known[word] = fnv1a(word)
-                        own.append(h)
-                        at.append(i)
-                ids.append(own)
-                lines.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.int32()))], names=["path", "ids", "lines"])
+                code = [(i, line) for i, line in enumerate(re.split("\r?\n", text or "")) if (t := line.strip()) and not t.startswith(skip)]
+                words = pattern.findall("\n".join(line for _, line in code))
+                own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                ends = own == _LINE_END
+                ids.append(own[~ends])
+                lines.append(np.array([i for i, _ in code], np.int32)[np.cumsum(ends)[~ends]])
+            at = pa.array(np.cumsum([len(x) for x in ids]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (ids, lines))], names=["path", "ids", "lines"])
 
     return files.select("path", "language_key", "text").mapInArrow(run, "path string, ids array<long>, lines array<int>")
 
@@ -123,6 +140,7 @@ def seeds(prints: DataFrame, most: int = MOST_OCCURRENCES) -> DataFrame:
 
     A fingerprint that very many files have, as boilerplate does, is joined over several tasks.
     """
+    prints = kept(prints)  # of narrow rows; looked at for hot ones, for places and for the join
     places = cap_occurrences(prints, most).select("hash", F.col("path").alias("partner"), F.col("pos").alias("partner_pos"))
     return join_hot(prints, places, "hash", "path", "pos", least=HOT_ROWS, piece=PIECE_ROWS).where("path <> partner OR pos <> partner_pos").select("path", "pos", "partner", "partner_pos")
 
