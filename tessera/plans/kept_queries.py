@@ -65,7 +65,7 @@ def debounced_event_stream(spark, sf_dir):
 def index_after_changes(spark, sf_dir):
     """The fingerprint index after all documents were put in, some were edited and some deleted."""
     files, edited, gone = changes(spark, sf_dir)
-    index = CloneIndex(spark, shared_folder(spark, "index"))
+    index = CloneIndex(spark, shared_folder(spark, "index"), buckets=8)
     index.apply(clones.token_arrays(files))
     index.apply(clones.token_arrays(edited), files.where("path LIKE 'src2%/fr/%'").select("path"))
     return index.fingerprints().select("path", "pos", "hash")
@@ -74,7 +74,7 @@ def index_after_changes(spark, sf_dir):
 def affected_after_change(spark, sf_dir):
     """Files whose blocks may have changed with the edits."""
     files, edited, _ = changes(spark, sf_dir)
-    index = CloneIndex(spark, shared_folder(spark, "index"))
+    index = CloneIndex(spark, shared_folder(spark, "index"), buckets=8)
     index.apply(clones.token_arrays(files))
     return index.apply(clones.token_arrays(edited))
 
@@ -82,7 +82,7 @@ def affected_after_change(spark, sf_dir):
 def _kept_rollups(spark, sf_dir) -> KeptRollups:
     files, edited, gone = changes(spark, sf_dir)
     scores = lambda f, g: score_measured(generic.measure_generic(f, MARKERS).withColumn("tier", F.lit(2)), LIMITS).withColumn("generation", F.lit(g))
-    rollups = KeptRollups(spark, shared_folder(spark, "rollups"))
+    rollups = KeptRollups(spark, shared_folder(spark, "rollups"), 8)
     rollups.apply(scores(files, 1))
     rollups.apply(scores(edited, 2))
     rollups.apply(scores(files, 1), gone)  # the first versions once more: they count only where they were deleted just now
