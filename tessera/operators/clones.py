@@ -185,16 +185,22 @@ def clone_blocks(tokens: DataFrame, threshold: int = 100) -> DataFrame:
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, partner, s, a, b, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5), strict=True):
+            for path, partner, s, a, b, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
                 a, b, lines = np.asarray(a.values), np.asarray(b.values), np.asarray(lines.values)
-                for x in s:
-                    found = _extend(a, b, x["pos"], x["partner_pos"], k)
+                done, known = -1, {}
+                for pos, other in zip(s.values.field("pos").to_pylist(), s.values.field("partner_pos").to_pylist(), strict=True):
+                    if pos == done:  # a place takes the first of its matches
+                        continue
+                    found = known.get(other - pos)  # seeds on one diagonal mostly lie in one match
+                    if found is None or not found[0] <= pos <= found[1] - k:
+                        found = known[other - pos] = _extend(a, b, pos, other, k)
                     if found is None or found[1] - found[0] < threshold:
                         continue
                     start, end, at = found
                     if path == partner and at < end and start < at + end - start:
                         continue
-                    rows.append((path, x["pos"], partner, x["partner_pos"], start, end, int(lines[at])))
+                    rows.append((path, pos, partner, other, start, end, int(lines[at])))
+                    done = pos
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "pos", "partner", "partner_pos", "s", "e", "partner_line"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 LANGUAGE = "tier2:prose"
 
 #: One file a document: source/language/id.
@@ -27,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select(path.alias("path"), F.lit(LANGUAGE).alias("language_key"), "text", "lang")
+    return spread(table(spark, sf_dir, "documents").select(path.alias("path"), F.lit(LANGUAGE).alias("language_key"), "text", "lang"))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over as many tasks as there are cores, where the files are read by fewer: one row group is one task, however much is done with its rows.
+
+    Tables of more splits than cores stay as they are. For plans without a shuffle, as their partitions are asked for.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table that a run keeps, beside the session's checkpoints, where all executors reach it."""
     kept(spark.range(0))  # sees to it that there is a checkpoint folder
