@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import clones
+from tessera.operators import clones, generic
 from tessera.operators.clone_index import CloneIndex
 from tessera.operators.hot_keys import heavy_keys
 from tessera.operators.kept_rollups import KeptRollups
@@ -15,7 +15,6 @@ from tessera.operators.rollups import score_measured
 from tessera.plans.analysis_queries import LIMITS, MARKERS, SCORES_SQL, scored_sums
 from tessera.plans.clone_queries import FNV_SQL, PRINTS_SQL
 from tessera.plans.corpus import FILES_SQL, TOKENS_SQL, document_files, table
-from tessera.operators import generic
 from tessera.session import shared_folder
 from tessera.sources import cache
 from tessera.streaming.quiet import event_edits, quiet_rows, quiet_stream
@@ -84,9 +83,7 @@ def _kept_rollups(spark, sf_dir) -> KeptRollups:
     scores = lambda f, g: score_measured(generic.measure_generic(f, MARKERS).withColumn("tier", F.lit(2)), LIMITS).withColumn("generation", F.lit(g))
     rollups = KeptRollups(spark, shared_folder(spark, "rollups"), 8)
     rollups.apply(scores(files, 1))
-    rollups.apply(scores(edited, 2))
-    rollups.apply(scores(files, 1), gone)  # the first versions once more: they count only where they were deleted just now
-    rollups.apply(removed=gone)
+    rollups.apply(scores(edited, 2), gone)
     return rollups
 
 
