@@ -67,3 +67,31 @@ def test_fingerprints_of_files_in_one_batch(spark, plain_limits):
     assert {tuple(r) for r in made.collect()} == want
     n, size = largest(spark.range(9000).selectExpr("'f' AS path", "array_repeat(id, 1000) AS ids"))
     assert n <= BATCH_ROWS and size < 2 * BATCH_BYTES
+
+
+def test_places_of_files_are_the_kept_ones(spark):
+    """Counts by file say what the kept places by row number say, cut ones too."""
+    rng = np.random.default_rng(5)
+    prints = spark.createDataFrame([(f"f{int(rng.integers(9))}", i, int(rng.integers(6))) for i in range(300)], "path string, pos int, hash long")
+    for most in (1, 7, 40, 64):
+        _, places = clones.places_by_path(prints, most)
+        want = clones.cap_occurrences(prints, most).groupBy("hash", "path").count()
+        assert {tuple(r) for r in places.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_files_meet_once_under_a_repeated_fingerprint(spark):
+    """Two files of 200 equal places meet in one row, not in 200 times 64."""
+    prints = spark.createDataFrame([(p, i, 7) for p in "ab" for i in range(200)], "path string, pos int, hash long")
+    met = clones.meetings(*clones.places_by_path(prints))
+    assert sorted((r["path"], r["partner"], r["n"], r["m"]) for r in met.collect()) == [("a", "a", 200, 64), ("b", "a", 200, 64)]
+    assert clones.clone_pairs(prints).collect() == [] == clones.seeds(prints).where("path < partner").collect()
+
+
+def test_heavy_keys_of_a_hot_key_shuffle_counts(spark):
+    """Where summaries would be large, and where a hot key is looked up, tasks send counts and not rows."""
+    from tessera.operators.hot_keys import MOST_COUNTERS, heavy_keys
+
+    rows = spark.range(0, 60_000, 1, 4).selectExpr("CASE WHEN id % 2 = 0 THEN -5 ELSE id END AS h")
+    got = heavy_keys(rows, "h", 2)
+    assert 2 * 60_000 // 2 > MOST_COUNTERS and [tuple(r) for r in got.collect()] == [(-5, 30_000)]
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
