@@ -6,6 +6,7 @@ minute). ``quiet_rows`` gives it over a table, ``quiet_stream`` over a stream.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,18 +23,31 @@ def quiet_rows(rows: DataFrame, key: str, at: str, gap_ms: int, *ties: str) -> D
     return rows.withColumn("__next", F.lead(ms).over(w)).where(F.col("__next").isNull() | (F.col("__next") - ms >= gap_ms)).drop("__next")
 
 
-def _settled(rows: pd.DataFrame, at: str, order: list[str], gap: pd.Timedelta, until: pd.Timestamp) -> tuple[pd.DataFrame, pd.DataFrame, pd.Series]:
-    """Rows that are let out, rows that are held, and when each of these is due; rows that still come are later than ``until``.
+_EPOCH, _MS = datetime.datetime(1970, 1, 1), datetime.timedelta(milliseconds=1)
+
+
+def _plain(column: pd.Series) -> list:
+    """A column's values as plain ones, nulls as None."""
+    return [None if v is None or v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in column.tolist()]
+
+
+def _settled(rows: list[tuple], at: int, gap: datetime.timedelta, until: datetime.datetime) -> tuple[list[tuple], list[tuple], list[datetime.datetime]]:
+    """Of rows in order, those that are let out, those that are held, and when these are due; rows that still come are later than ``until``.
 
     A row that nothing follows closely is let out when nothing can any more. One that is followed will never be, but is held
-    while a row before it can come that it follows closely.
+    while a row before it can come that it follows closely. Rows without a time come last and are held.
     """
-    rows = rows.sort_values(order, kind="stable", ignore_index=True)
-    following = rows[at].shift(-1)
-    last = following.isna() | (following - rows[at] >= gap)
-    due = rows[at] + last.map({True: gap, False: pd.Timedelta(0)})
-    past = due <= until
-    return rows[last & past], rows[~past], due[~past]
+    out, rest, due = [], [], []
+    for row, after in zip(rows, [*rows[1:], None], strict=True):
+        t, following = row[at], after and after[at]
+        last = t is None or following is None or following - t >= gap
+        end = None if t is None else t + gap if last else t
+        if end is None or end > until:
+            rest.append(row)
+            due += [] if end is None else [end]
+        elif last:
+            out.append(row)
+    return out, rest, due
 
 
 def quiet_stream(rows: DataFrame, key: str, at: str, gap_ms: int, late: str = "10 seconds", ties: tuple[str, ...] = ()) -> DataFrame:
@@ -45,25 +59,22 @@ def quiet_stream(rows: DataFrame, key: str, at: str, gap_ms: int, late: str = "1
     """
     kept = StructType([f for f in rows.schema.fields if f.name != key])
     state = StructType([StructField("open", ArrayType(kept))])
-    gap, order = pd.Timedelta(milliseconds=gap_ms), [at, *ties]
     names = [f.name for f in kept.fields]
+    place, gap, order = names.index(at), datetime.timedelta(milliseconds=gap_ms), [names.index(c) for c in (at, *ties)]
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [pd.DataFrame([tuple(r) for r in held.get[0]], columns=names)] if held.exists else []
-        parts += [b[names] for b in batches]
-        every = pd.concat([p for p in parts if len(p)], ignore_index=True)
-        every[at] = pd.to_datetime(every[at])
-        until = pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms")
-        out, rest, due = _settled(every, at, order, gap, until)
-        if len(rest):
-            plain = rest.astype(object).where(rest.notna(), None)
-            held.update(([tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in plain.itertuples(index=False)],))
-            held.setTimeoutTimestamp(max(-(-due.min().value // 1_000_000), held.getCurrentWatermarkMs() + 1))
+        every = [tuple(r) for r in held.get[0]] if held.exists else []
+        for b in batches:  # a group has few rows, so plain values are much faster than frames
+            every += zip(*(_plain(b[c]) for c in names), strict=True)
+        every.sort(key=lambda r: [(r[i] is None, r[i]) for i in order])
+        out, rest, due = _settled(every, place, gap, _EPOCH + held.getCurrentWatermarkMs() * _MS)
+        if rest:
+            held.update((rest,))
+            held.setTimeoutTimestamp(max(-((_EPOCH - min(due)) // _MS) if due else 0, held.getCurrentWatermarkMs() + 1))
         else:
             held.remove()
-        out = out.copy()
-        out.insert(0, key, group[0])
-        yield out
+        if out:
+            yield pd.DataFrame([(group[0], *r) for r in out], columns=[key, *names])
 
     shape = StructType([rows.schema[key], *kept.fields])
     if not isinstance(rows.schema[at].dataType, TimestampType):
