@@ -95,3 +95,13 @@ def test_heavy_keys_of_a_hot_key_shuffle_counts(spark):
     got = heavy_keys(rows, "h", 2)
     assert 2 * 60_000 // 2 > MOST_COUNTERS and [tuple(r) for r in got.collect()] == [(-5, 30_000)]
     assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symbols_parse_once(spark):
+    """Functions and findings come from one kept table: the plan has no parse in it any more."""
+    from conftest import SF
+
+    from tessera.plans import result_queries
+
+    for query in (result_queries.symbols_left_join, result_queries.panel_symbols):
+        assert "MapInArrow" not in query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
